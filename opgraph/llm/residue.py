@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opgraph.plans.materialize import materialize
+
 try:
     import ahocorasick
 except ImportError:  # the automaton only speeds up what the patterns below decide
@@ -72,9 +74,9 @@ SCRIPT_NEED = r"\b(?:enable[ds]?|enabling|allow(?:ed)?|activate|turn(?:ed)?|swit
 SCRIPT_PLACE = r"\b(?:browser|viewer|page|app|application|content|document|site|reload|loading|seconds|happens|navigateur|navegador|texte|text|lire|leer|ler|contenu|contenido|conteúdo|view|shown|run)\b"
 #: Words that pages about faults and notices are made of.
 FAULT_WORDS = "page pages server serveur servidor gateway host service viewer session account file document request requests content browser database connection renderer store upload download archive portal site url link error erreur exception code id ticket reference retry reload loading try again later sorry oops unavailable available expired denied access forbidden exist exists found loaded displayed delivered maintenance capacity timed timeout region sign login persists wrong javascript scripting scripts cookies script enable switch annex reading room invalid reply refused moved corrupt encrypted failed unexpectedly seconds moment administrator página código solicitada cargar documento archivo disponible introuvable demandé plus réessayez navegador servidor indisponível encontrada".split()
-#: What a segment must hold to be judged: one of these strings, or the punctuation below.
-TRIGGER_WORDS = "click choose your goes appears delete replace instruction drafting guidance construction fill supplied paste tbd tbc todo complet remplir preencher copy dummy sample placeholder specimen mock provisoire factice provisional layout ipsum dolor lorem consectetur adipiscing eiusmod nostrud incididunt quis veniam amet elit labore enim magna tempor minim sed aliqua asdf qwer zxcv blah foo tttt zzz xxx test error erreur http code forbidden unauthori gateway timed timeout time-out maintenance capacity offline corrupt exist unexpectedly refused invalid cannot can't could not couldn't expired failed exception wrong requests denied répond introuvable disponible disponível pudo puede possível moved unavailable available gone did not again later sorry oops java script noscript cookies active content browser navigateur navegador reload loading null server viewer page session account access region".split()
-TRIGGER_PUNCTUATION = r"[{}●«»]|<[<a-z]|[\[(]\s*[A-Za-zÀ-ÿ●_xX%?.…-]|%%|@@|__|#[a-z]+[_#]"
+#: What a segment must hold to be judged: one of these strings (they stand for themselves, commas separate them), or the punctuation below.
+TRIGGER_WORDS = "click,choose,your,goes here,appears here,comes here,delete,replace,instruction,drafting,guidance,construction,fill in,supplied,paste,tbd,tbc,todo,to do,to complete,be completed,be drafted,compléter,completar,remplir,preencher,copy,dummy,sample,filler,placeholder,specimen,mock,example text,provisoire,factice,provisional,layout,_title,_body,ipsum,dolor,lorem,consectetur,adipiscing,eiusmod,nostrud,incididunt,veniam,amet,labore,enim,magna,tempor,minim,aliqua,asdf,qwer,zxcv,blah,foo ,tttt,zzz,xxx,test ,error,erreur,http,code,forbidden,unauthori,gateway,timed,timeout,time-out,maintenance,over capacity,offline,corrupt,exist,unexpectedly,refused,invalid,cannot,can't,could not,couldn't,expired,failed,exception,wrong,requests,denied,répond,introuvable,disponible,disponível,pudo,puede,possível,moved,unavailable,available,gone,did not,does not,not found,no longer,later,sorry,oops,java,script,noscript,cookies,active content,browser,navigateur,navegador,reload,loading,null,server,viewer,page,session".split(",")
+TRIGGER_PUNCTUATION = r"[{}●«»\[]|<[<a-z]|\(\s*(?i:insert|enter|type|fill|add|provide|specify|state|name|date|amount|to be|tb[cd]|à|a )|%%|@@|__|#[a-z]+[_#]"
 # -------------------------------------------------------------------------------------------------
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
@@ -109,7 +111,7 @@ def judge(segment: str) -> tuple[str | None, bool]:
     """(reason why this line or sentence is residue, or None; whether host evidence would make it so)."""
     words = WORD.findall(segment.lower())
     n = len(words)
-    if _PLACEHOLDER.search(segment):
+    if _PUNCTUATION.search(segment) and _PLACEHOLDER.search(segment):
         return "placeholder", False
     if _INSTRUCTION.search(segment):
         return "instruction", False
@@ -177,7 +179,8 @@ def find_residue(df: DataFrame, id_col: str, text_col: str = "text", title_col:
     ver = F.col(version_col).cast("string") if version_col else F.lit("")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(ver, F.lit("")).alias("ver"), title.cast("string").alias("title"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull())
-    seen = rows.where(F.col("text") != "").mapInArrow(_scan, "id string, ver string, reason string, host string, masked string")
+    # read twice below: the scan's few rows are written, not the texts scanned again
+    seen = materialize(rows.where(F.col("text") != "").mapInArrow(_scan, "id string, ver string, reason string, host string, masked string"), "residue")
     # distinct documents per masked segment; the segments are few, and a segment of a third of them is counted map-side first
     weak = seen.where(F.col("masked").isNotNull()).withColumn("m", F.xxhash64("masked"))
     spread = weak.select("m", "host").distinct().groupBy("m").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS).select("m")
