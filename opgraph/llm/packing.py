@@ -135,7 +135,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, the least possible number of containers, and the share of room used."""
+    """One row: containers, tokens, the least possible number of containers, and the share of room used (null without any)."""
     filled = packed.groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"))
     total = filled.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest"))
-    return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("bound"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("used_share"))
+    return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("bound"), F.round(F.try_divide("tokens", F.col("containers") * capacity), 6).alias("used_share"))
