@@ -41,7 +41,7 @@ def score_answers(answers: DataFrame) -> DataFrame:
     expect_ids (array). Plain strings match case-insensitively; ``re:`` patterns by case.
     """
     low = F.lower(F.coalesce("answer", F.lit("")))
-    hit = lambda p: F.when(F.startswith(p, F.lit("re:")), F.col("answer").rlike(F.substring(p, F.lit(4), F.lit(10_000)))).otherwise(F.contains(low, F.lower(p)))
+    hit = lambda p: F.when(F.startswith(p, F.lit("re:")), F.rlike(F.coalesce("answer", F.lit("")), F.substring(p, F.lit(4), F.lit(10_000)))).otherwise(F.contains(low, F.lower(p)))
     any_of = lambda alternatives: F.exists(alternatives, hit)
     route = F.forall("expect_route", lambda alt: F.arrays_overlap(alt, F.col("tools")))
     ids = F.forall("expect_ids", lambda i: F.contains(low, F.lower(i)))

@@ -143,7 +143,12 @@ def read_version(spark: SparkSession, root: str) -> DataFrame | None:
     fs = pointer.getFileSystem(conf)
     if not fs.exists(pointer):
         return None
-    return spark.read.parquet(spark.read.text(pointer.toString()).first()[0])
+    # names that start with an underscore are hidden from file sources, so the pointer is read as a stream
+    stream = fs.open(pointer)
+    try:
+        return spark.read.parquet(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
 
 
 def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000) -> int:
