@@ -545,3 +545,36 @@ def ingest_latest(hits):
 def hits_per_hour(hits):
     rows = latest(hits, "hit_id", ["project_id", "asked_at"], "loaded_at").where("project_id IS NOT NULL AND asked_at IS NOT NULL")
     return rows.groupBy(F.window("asked_at", "1 hour")["start"].alias("hour"), "project_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+# ---- derived nodes and layers ---------------------------------------------------------------------------
+@query("operations", "sections", sql=f"""
+    WITH s AS (SELECT * FROM {SECS}), d AS (SELECT DISTINCT s.document_hash, s.project_id, o.pdo_text FROM s JOIN {OPS} o USING (project_id) WHERE o.pdo_text IS NOT NULL AND o.pdo_text <> '')
+    SELECT document_hash || ':project-development-objective-datasheet#0' AS section_id, project_id, -1 AS "order", length(pdo_text) AS chars FROM d
+    ANTI JOIN (SELECT document_hash FROM s WHERE subtype = 'development_objective' AND (scope = 'main' OR phase_project_id = project_id)) x USING (document_hash)""")
+def pdo_sections(ops, secs):
+    s = graph.sections(secs)
+    docs = s.select("document_hash", "project_id").distinct().join(graph.operations(ops).select("project_id", "pdo_text"), "project_id")
+    return graph.pdo_sections(docs, s).select("section_id", "project_id", "order", "chars")
+
+
+@query("sections", "operations", sql=f"SELECT DISTINCT phase_project_id AS project_id, true AS stub FROM {SECS} s WHERE phase_project_id IS NOT NULL AND phase_project_id NOT IN (SELECT project_id FROM {OPS})")
+def phase_stubs(secs, ops):
+    phases = latest(secs, "section_id", ["phase_project_id"], "loaded_at").select(F.col("phase_project_id").alias("project_id"))
+    return graph.phase_stubs(phases, graph.operations(ops))
+
+
+@query("operations", "finances", "organizations", sql=f"""
+    WITH o AS (SELECT * FROM {OPS}), p AS (SELECT DISTINCT name_norm, project_id FROM {_FIN} WHERE project_id IS NOT NULL)
+    SELECT 'LOCATED_IN' AS type, count(*) AS n FROM o WHERE country IS NOT NULL
+    UNION ALL SELECT 'FINANCES', count(*) FROM p SEMI JOIN organizations USING (name_norm) SEMI JOIN o USING (project_id)""")
+def layer_edges(ops, fin, orgs):
+    _, edges = graph.operations_layer(graph.operations(ops), graph.finances_edges(fin), orgs)
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sections", sql=f"SELECT document_hash, count(*) AS rows, count(subtype) AS subtype, count(text) AS text FROM {SECS} GROUP BY document_hash")
+def section_summary(secs):
+    from opgraph.sources.sinks import summary
+
+    return summary(graph.sections(secs), "document_hash", ["subtype", "text"])

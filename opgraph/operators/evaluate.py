@@ -96,3 +96,32 @@ def report(title: str, calls: list[dict], answer: str | None, most: int = 220) -
     for i, c in enumerate(calls, 1):
         lines += [f"{i}. {c['tool']}{' (error)' if c.get('error') else ''}", f"   in:  {cut(c['input'] if isinstance(c['input'], str) else json.dumps(c['input'], ensure_ascii=False))}", f"   out: {cut(str(c.get('output') or ''))}"]
     return "\n".join([*lines, "", answer or "(no answer)"])
+
+
+def run_questions(questions: list[dict], ask, jobs: int = 3) -> list[dict]:
+    """``ask(question)`` for every question on ``jobs`` driver threads, in the order given; an exception becomes ``{"error"}``."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(q: dict) -> dict:
+        try:
+            return {"id": q["id"], "payload": ask(q)}
+        except Exception as e:
+            return {"id": q["id"], "payload": {"error": f"{type(e).__name__}: {e}"[:500]}}
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        return list(pool.map(one, questions))
+
+
+def oracle_filters(question: dict, k: int = 8) -> dict:
+    """Retrieval arguments taken from the answer key: project ids (grouped if several), section types and scope."""
+    projects = [p for p in question.get("expect_ids") or [] if re.fullmatch(r"P\d{6,7}", p)]
+    out: dict = {"k": k}
+    if projects:
+        out["project_ids"] = projects
+    if len(projects) > 1:
+        out["per_project_k"] = max(1, k // len(projects))
+    if question.get("expect_section_types"):
+        out["section_types"] = question["expect_section_types"]
+    if question.get("expect_scope"):
+        out["scope"] = question["expect_scope"]
+    return out

@@ -171,3 +171,44 @@ def graph_schema(tables: dict[str, DataFrame], ops: DataFrame, secs: DataFrame,
     for r in vocabulary(ops, secs, chunks).orderBy("vocab", "value").limit(5000).collect():
         vocab.setdefault(r.vocab, []).append(r.value)
     return {"labels": labels, "vocabularies": vocab}
+
+
+# ---- derived nodes --------------------------------------------------------------------------------------
+def pdo_sections(docs: DataFrame, secs: DataFrame) -> DataFrame:
+    """A synthetic objective section (order -1, level 1) for documents with an objective text and no own section of that subtype.
+
+    ``docs``: document_hash, project_id, pdo_text. Own sections are those of scope main or of the project's own phase.
+    """
+    own = secs.where((F.col("subtype") == "development_objective") & ((F.col("scope") == "main") | (F.col("phase_project_id") == F.col("project_id"))))
+    lacking = docs.where(F.col("pdo_text").isNotNull() & (F.col("pdo_text") != "")).join(own.select("document_hash").distinct(), "document_hash", "left_anti")
+    text = F.col("pdo_text")
+    return lacking.select(
+        F.concat("document_hash", F.lit(":project-development-objective-datasheet#0")).alias("section_id"), "document_hash", "project_id", F.lit(-1).alias("order"), F.lit(1).alias("level"),
+        F.lit("Project Development Objective").alias("title"), F.lit("pdo").alias("type"), F.lit("development_objective").alias("subtype"), F.lit("main").alias("scope"), text.alias("text"), F.length(text).alias("chars"), F.lit("datasheet").alias("source"))
+
+
+def phase_stubs(phases: DataFrame, ops: DataFrame) -> DataFrame:
+    """Stub operations for the ids of phases that no operation has; phases without an id stay unlinked, none is dropped."""
+    ids = phases.where(F.col("project_id").isNotNull()).select("project_id").distinct()
+    return ids.join(ops.select("project_id"), "project_id", "left_anti").withColumn("stub", F.lit(True))
+
+
+def property_keys(tables: dict[str, DataFrame], sample: int = 300) -> dict[str, list[str]]:
+    """Properties that at least one of up to ``sample`` rows of a label has, as schema discovery reports them."""
+    out = {}
+    for label, df in tables.items():
+        seen = df.limit(sample).agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
+        out[label] = sorted(c for c in df.columns if seen[c])
+    return out
+
+
+def operations_layer(ops: DataFrame, fin: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the operations layer: operations, countries, financiers; LOCATED_IN and FINANCES."""
+    op = ops.select(F.concat(F.lit("o:"), "project_id").alias("id"), F.lit("Operation").alias("label"), "name")
+    land = ops.where("country IS NOT NULL").groupBy("country").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("l:"), "country").alias("id"), F.lit("Location").alias("label"), F.col("country").alias("name"))
+    paid = fin.where("project_id IS NOT NULL").select("name_norm", "project_id").distinct()
+    org = orgs.join(paid.select("name_norm").distinct(), "name_norm", "left_semi").select(F.concat(F.lit("g:"), "name_norm").alias("id"), F.lit("Organization").alias("label"), "name")
+    located = ops.where("country IS NOT NULL").select(F.concat(F.lit("o:"), "project_id").alias("src"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("l:"), "country").alias("dst"))
+    pays = paid.join(orgs.select("name_norm"), "name_norm", "left_semi").join(ops.select("project_id"), "project_id", "left_semi")
+    finances = pays.select(F.concat(F.lit("g:"), "name_norm").alias("src"), F.lit("FINANCES").alias("type"), F.concat(F.lit("o:"), "project_id").alias("dst"))
+    return op.unionByName(land).unionByName(org), located.unionByName(finances)
