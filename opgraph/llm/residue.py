@@ -79,6 +79,8 @@ TRIGGER_WORDS = "click,choose,your,goes here,appears here,comes here,delete,repl
 TRIGGER_PUNCTUATION = r"[{}●«»\[]|<[<a-z]|\(\s*(?i:insert|enter|type|fill|add|provide|specify|state|name|date|amount|to be|tb[cd]|à|a )|%%|@@|__|#[a-z]+[_#]"
 # -------------------------------------------------------------------------------------------------
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+")
+HYPHENATED = re.compile(r"(?<=[^\W\d_A-Z])-\n(?=[^\W\d_A-Z])")
+WRAPPED = re.compile(r"(?<=[^\W\d_]|[,;])\n(?=[^\W\d_A-Z])|\n[ \t]+(?=\S)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 MASK = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 TABULAR = re.compile(r"^\s*\||\d")
@@ -148,6 +150,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             segments = [x.strip() for x in SEGMENT.split(text)]
             segments = [x for x in segments if x]
             distinct = dict.fromkeys(segments)
+            unwrapped = WRAPPED.sub(" ", HYPHENATED.sub("", text))
+            if unwrapped != text:  # sentences that extraction broke over lines are judged whole as well
+                distinct |= dict.fromkeys(x.strip() for x in SEGMENT.split(unwrapped) if x.strip())
             reasons: set[str] = set()
             weak: list[str] = []
             for segment in distinct:
@@ -157,7 +162,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         reasons.add(reason)
                     elif maybe:
                         weak.append(segment)
-            if len(segments) >= 3 and len(distinct) < 0.5 * len(segments) and not any(TABULAR.search(x) for x in distinct):
+            if len(segments) >= 3 and len(set(segments)) < 0.5 * len(segments) and not any(TABULAR.search(x) for x in segments):
                 reasons.add("repetition")
             host, _, path = key.partition(":")
             out += [(key, ver, reason, None, None) for reason in reasons]
