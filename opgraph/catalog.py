@@ -12,7 +12,7 @@ from opgraph.functions.vocab import CORE, SECTION_TYPES
 from opgraph.operators import chunking, evaluate, facts, glossary, graph, index, layout, retrieve
 from opgraph.operators.patterns import to_sql
 from opgraph.operators.query import Rejected, check
-from opgraph.plans.keys import latest
+from opgraph.plans.keys import latest, latest_wide
 from opgraph.session import table
 from opgraph.streaming.ingest import merge_latest
 
@@ -87,7 +87,7 @@ def redact_text(docs):
         lambda x: x <> '' AND NOT regexp_matches(x, '{T.LEADER}')), chr(10))) AS cleaned
     FROM {CHUNKS} WHERE text IS NOT NULL""")
 def clean_text(chunks):
-    rows = latest(chunks, "chunk_id", ["text"], "loaded_at").where("text IS NOT NULL")
+    rows = latest_wide(chunks, "chunk_id", ["text"], "loaded_at").where("text IS NOT NULL")
     return rows.select("chunk_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
@@ -190,7 +190,7 @@ def oversized_sections(secs):
 
 @query("sections", sql=f"SELECT section_id, len(regexp_extract_all(text, '(?i)\\b(?:baselines?|targets?|indicators?)\\b')) AS n FROM {SECS} WHERE subtype = 'key_risks' AND len(regexp_extract_all(text, '(?i)\\b(?:baselines?|targets?|indicators?)\\b')) >= 3")
 def results_words(secs):
-    return layout.results_words(latest(secs, "section_id", ["subtype", "text"], "loaded_at"))
+    return layout.results_words(latest_wide(secs, "section_id", ["subtype", "text"], "loaded_at"))
 
 
 @query("sections", sql=f"""
@@ -210,7 +210,7 @@ def missing_core(secs):
       FROM (SELECT step.id, step.n, step.k, b.w, greatest(step.e - 50, step.s + 1) AS s2, least(greatest(step.e - 50, step.s + 1) + 400, step.n) AS e0 FROM step JOIN b USING (id) WHERE step.e < step.n))
     SELECT id, k AS n, s AS "start", e AS "end" FROM step""")
 def text_windows(secs):
-    rows = latest(secs, "section_id", ["text"], "loaded_at")
+    rows = latest_wide(secs, "section_id", ["text"], "loaded_at")
     return chunking.text_windows(rows, "section_id").select("id", "n", "start", "end")
 
 
@@ -439,13 +439,13 @@ def _context(chunks, secs, ops):
 
 @query("chunks", sql=f"WITH c AS (SELECT chunk_id AS id, text FROM {CHUNKS}) SELECT * FROM ({_bm25_sql('c')}) ORDER BY score DESC, id LIMIT 20")
 def bm25_topk(chunks):
-    rows = latest(chunks, "chunk_id", ["text"], "loaded_at")
+    rows = latest_wide(chunks, "chunk_id", ["text"], "loaded_at")
     return index.top(index.bm25(rows, TERMS, "chunk_id")).select("id", "score")
 
 
 @query("chunks", sql=f"WITH c AS (SELECT chunk_id AS id, embedding FROM {CHUNKS}) SELECT * FROM ({_vector_sql('c')}) ORDER BY score DESC, id LIMIT 20")
 def vector_topk(chunks):
-    rows = latest(chunks, "chunk_id", ["embedding"], "loaded_at")
+    rows = latest_wide(chunks, "chunk_id", ["embedding"], "loaded_at")
     return index.top(index.vector_scores(rows, VECTOR, "chunk_id")).select("id", "score")
 
 

@@ -30,9 +30,9 @@ def context_filter(countries: list[str] | None = None, project_ids: list[str] |
 
 def chunk_context(chunks: DataFrame, sections: DataFrame, operations: DataFrame) -> DataFrame:
     """Chunks with the section and operation facts that filters and payloads need; latest rows only."""
-    from opgraph.plans.keys import latest
+    from opgraph.plans.keys import latest, latest_wide
 
-    c = latest(chunks, "chunk_id", ["section_id", "order", "kind", "text", "embedding"], "loaded_at")
+    c = latest_wide(chunks, "chunk_id", ["section_id", "order", "kind", "text", "embedding"], "loaded_at")
     s = latest(sections, "section_id", ["project_id", "type", "subtype", "scope", "path", "phase_project_id"], "loaded_at")
     o = latest(operations, "project_id", ["name", "country", "country_iso2"], "loaded_at")
     return c.join(s, "section_id").join(o, "project_id", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opgraph.plans.materialize import materialize
+
 
 def latest(df: DataFrame, key: str, columns: list[str], version: str | None) -> DataFrame:
     """One row per ``key``: that with the greatest ``version``, ties broken by the values themselves.
@@ -17,6 +19,23 @@ def latest(df: DataFrame, key: str, columns: list[str], version: str | None) ->
     return picked.select(key, *[F.col("_r").getField(c).alias(c) for c in columns])
 
 
+#: Repeated keys that are sent to every task at most; beyond it the join is left to the planner.
+MOST_REPEATED = 200_000
+
+
+def latest_wide(df: DataFrame, key: str, columns: list[str], version: str | None) -> DataFrame:
+    """:func:`latest` for wide rows (texts, vectors) of which few are delivered twice.
+
+    Only the keys are shuffled to find those with several rows; a checked number of them is broadcast, so that all other
+    rows stream from the scan without being moved. Beyond MOST_REPEATED the rows are joined and aggregated by shuffles.
+    """
+    repeated = materialize(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key), "keys-repeated")
+    known = F.broadcast(repeated) if repeated.limit(MOST_REPEATED + 1).count() <= MOST_REPEATED else repeated
+    rows = df.where(F.col(key).isNotNull()).select(key, *columns, *([version] if version and version not in columns else []))
+    once = rows.join(known, key, "left_anti").select(key, *columns)
+    return once.unionByName(latest(rows.join(known, key, "left_semi"), key, columns, version))
+
+
 def bucket_of(column: Column, buckets: int) -> Column:
     """A stable bucket number 0..buckets-1 from a 64-bit hash."""
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")

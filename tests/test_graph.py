@@ -118,3 +118,14 @@ def test_salted_numbers_and_sums(spark):
     assert sorted(r.rn for r in n if r.g == "hot") == list(range(150)) and sorted(r.rn for r in n if r.g == "cold") == list(range(50))
     s = sorted((r.at, r.v) for r in salted_running_sum(df, ["g"], "k", "v", "at", buckets=8).collect() if r.g == "hot")
     assert s[0][0] == 0 and all(a + v == b for (a, v), (b, _) in zip(s, s[1:]))
+
+
+def test_latest_of_wide_rows_equals_latest(spark, monkeypatch):
+    from opgraph.plans import keys
+
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", None), (None, "n", 1), ("c", "p", 5), ("c", "q", 5)], "k string, v string, t int")
+    want = {("a", "y"), ("b", "z"), ("c", "q")}
+    assert {tuple(r) for r in keys.latest(df, "k", ["v"], "t").collect()} == want == {tuple(r) for r in keys.latest_wide(df, "k", ["v"], "t").collect()}
+    monkeypatch.setattr(keys, "MOST_REPEATED", 0)
+    assert {tuple(r) for r in keys.latest_wide(df, "k", ["v"], "t").collect()} == want
+    assert keys.latest_wide(df.limit(0), "k", ["v"], "t").collect() == []
