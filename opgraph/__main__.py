@@ -11,7 +11,7 @@ from opgraph.session import get_or_create, table
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="opgraph")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("schema", "labels, counts and vocabularies"), ("retrieve", "hybrid retrieval"), ("query", "a read-only SQL or pattern query"), ("sections", "sections of span files"), ("chunk", "chunks of the sections table"), ("run", "a registered query")):
+    for name, text in (("schema", "labels, counts and vocabularies"), ("retrieve", "hybrid retrieval"), ("query", "a read-only SQL or pattern query"), ("sections", "typed sections of span files"), ("ingest", "merge span files into the tables below --out"), ("chunk", "chunks of the sections table"), ("run", "a registered query")):
         p = sub.add_parser(name, help=text)
         p.add_argument("--data", required=True, help="directory of the tables")
         p.add_argument("--out", help="write the result here as Parquet")
@@ -29,14 +29,18 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     spark = get_or_create()
     from opgraph import catalog
-    from opgraph.operators import chunking, graph, layout, query, retrieve
+    from opgraph.operators import chunking, graph, pipeline, query, retrieve
     from opgraph.sources.readers import read_spans
 
     split = lambda s: [x.strip() for x in s.split(",") if x.strip()] or None
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=1, default=str))
     if a.command == "sections":
-        rows = layout.drop_boilerplate(layout.page_rows(read_spans(spark, a.data)))
-        out = layout.assign_scope(layout.parents(layout.assemble(layout.detect_headings(rows))))
+        out = pipeline.extract_sections(read_spans(spark, a.data))
+    elif a.command == "ingest":
+        if not a.out:
+            parser.error("ingest needs --out")
+        show(pipeline.ingest(spark, a.data, a.out))
+        return 0
     elif a.command == "run":
         out = catalog.queries()[a.text](spark, a.data)
     elif a.command == "chunk":

@@ -78,7 +78,7 @@ def test_scores(spark):
 
 
 def test_transcripts(spark, tmp_path):
-    use = {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "1", "name": "mcp__kg__retrieve", "input": {"q": 1}}]}}
+    use = {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "1", "name": "mcp__srv__retrieve", "input": {"q": 1}}]}}
     res = {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "1", "content": json.dumps({"error": "x"})}]}}
     two = {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "2", "name": "retrieve", "input": {}}]}}
     (tmp_path / "t.jsonl").write_text("\n".join(["noise", json.dumps(use), "{broken", json.dumps(res), json.dumps(two)]))
