@@ -10,6 +10,7 @@ less (see README).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,22 +27,23 @@ CAPACITY = 2048
 CLASSES = 64
 
 
+_CUT = pa.struct([("size", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64())])
+
+
 def _pieces(capacity: int):
-    """Whole documents, or pieces of exactly ``capacity`` tokens (the last one smaller) of longer ones."""
+    """Per text its tokens, a digest, and its cuts: whole, or pieces of exactly ``capacity`` tokens (the last one smaller)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "pieces", "size", "char_start", "char_end"]
         for batch in batches:
-            cols: list[list[int]] = [[] for _ in names]
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            totals, digests, cuts = [], [], []
+            for text in batch.column(1).to_pylist():
                 starts = [m.start() for m in TOKEN_RE.finditer(text)]
                 n = len(starts)
-                cuts = list(range(0, n, capacity))
-                for i, a in enumerate(cuts):
-                    b = min(n, a + capacity)
-                    for col, v in zip(cols, (key, i, len(cuts), b - a, 0 if a == 0 else starts[a], len(text) if b == n else starts[b])):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                totals.append(n)
+                digests.append(hashlib.md5(text.encode(errors="replace")).hexdigest())
+                ends = [min(n, a + capacity) for a in range(0, n, capacity)]
+                cuts.append([{"size": b - a, "char_start": 0 if a == 0 else starts[a], "char_end": len(text) if b == n else starts[b]} for a, b in zip(range(0, n, capacity), ends)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(digests, pa.string()), pa.array(cuts, pa.list_(_CUT))], ["doc_id", "total", "digest", "cuts"])
 
     return run
 
@@ -107,11 +109,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     A document is whole unless it alone exceeds ``capacity``; then it comes in pieces of ``capacity`` tokens and a
     rest. Null ids, null and empty texts, and texts without a token take no room and are left out. A repeated
-    row counts once; an id with several texts keeps the greatest. Containers are numbered from 0; the numbering is the same for
+    row counts once; an id with several texts keeps that of most tokens. Containers are numbered from 0; the numbering is the same for
     the same input. An empty table gives an empty result; other columns are ignored.
     """
-    rows = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(text_col).alias("text"))
-    pieces = rows.mapInArrow(_pieces(capacity), "doc_id long, piece long, pieces long, size long, char_start long, char_end long")
+    rows = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # texts are measured where they are read; only sizes and offsets are shuffled to count a repeated id once
+    sized = rows.mapInArrow(_pieces(capacity), "doc_id long, total long, digest string, cuts array<struct<size:long,char_start:long,char_end:long>>")
+    best = sized.groupBy("doc_id").agg(F.max(F.struct("total", "digest", "cuts")).alias("b")).select("doc_id", F.size("b.cuts").cast("long").alias("pieces"), F.posexplode("b.cuts").alias("piece", "c"))
+    pieces = best.select("doc_id", F.col("piece").cast("long").alias("piece"), "pieces", "c.size", "c.char_start", "c.char_end")
     pieces = materialize(pieces.withColumn("key", F.concat_ws(":", "doc_id", "piece")), "pack-pieces")
     histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     if strategy == "harmonic":

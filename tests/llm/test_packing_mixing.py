@@ -33,7 +33,7 @@ def test_plan_uses_up_the_histogram():
 def test_pack(spark, strategy):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(n), "a") for i, n in enumerate(rng.integers(1, 120, size=200))]
-    rows += [(1000, "w " * 250, "a"), (1001, None, "a"), (1002, "", "a"), (1003, "   ", "a"), (None, "w", "a"), (3, rows[3][1], "a")]
+    rows += [(1000, "w " * 250, "a"), (1001, None, "a"), (1002, "", "a"), (1003, "   ", "a"), (None, "w", "a"), (3, rows[3][1], "a"), (1000, "w", "a")]
     out = pack(docs(spark, rows), capacity=100, strategy=strategy)
     got = out.collect()
     used = Counter()
