@@ -9,10 +9,12 @@ from opgraph.functions.text import name_norm
 from opgraph.plans.keys import latest
 from opgraph.plans.materialize import materialize
 
+# ---- fixed values: labels and their key properties ----------------------------------------------------
 NODE_KEYS = {
     "Operation": "project_id", "Program": "program_id", "Phase": "phase_id", "Document": "hash", "Organization": "name_norm",
     "Location": "name_norm", "Risk": "name", "Acronym": "name", "Section": "section_id", "Table": "table_id", "Chunk": "chunk_id",
 }
+# -----------------------------------------------------------------------------------------------------
 
 
 # ---- staging and upserts ------------------------------------------------------------------------------

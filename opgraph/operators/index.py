@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from opgraph.functions.text import cosine
 
+# ---- fixed values: ranking constants, words that carry no content in a question ------------------
 K1, B = 1.2, 0.75
 RRF_K = 60
 PER_METHOD = 20
-# ---- fixed values: words that carry no content in a question -------------------------------------
 STOPWORDS = frozenset("""a about above after again all also an and any are as at be been before being below between both but by can
 could did do does doing down during each few for from further had has have having how i if in into is it its itself just
 me more most my no nor not now of off on once only or other our out over own same should so some such than that the their
