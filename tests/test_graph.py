@@ -70,6 +70,14 @@ def test_patterns(spark):
     assert [(r["name"], sorted(r["ops"]), r["n"]) for r in got["rows"]] == [("IDA", ["P1", "P2"], 2)]
     got = graph_query(spark, "MATCH (o:Operation {project_id: $p})<-[:FINANCES]-(g:Organization) RETURN g.name_norm AS g ORDER BY g LIMIT 1", {"p": "P1"})
     assert got["rows"] == [{"g": "ida"}]
+    spark.createDataFrame([("d",)], "hash string").createOrReplaceTempView("Document")
+    spark.createDataFrame([("s1", "A"), ("s2", "B"), ("s3", "C")], "section_id string, title string").createOrReplaceTempView("Section")
+    spark.createDataFrame([("d", "s1")], "src string, dst string").createOrReplaceTempView("HAS_SECTION")
+    spark.createDataFrame([("s1", "s2"), ("s2", "s3")], "src string, dst string").createOrReplaceTempView("HAS_SUBSECTION")
+    walk = lambda e: [r["t"] for r in graph_query(spark, f"MATCH (d:Document)-[:{e}]->(s:Section) RETURN s.title AS t ORDER BY t")["rows"]]
+    assert (walk("HAS_SECTION"), walk("HAS_SECTION|HAS_SUBSECTION*"), walk("HAS_SECTION|HAS_SUBSECTION*2..3")) == (["A"], ["A", "B", "C"], ["B", "C"])
+    got = graph_query(spark, "MATCH (s:Section {section_id: 's1'})-[:HAS_SUBSECTION*0..]->(t:Section) RETURN t.title AS t ORDER BY t")
+    assert [r["t"] for r in got["rows"]] == ["A", "B", "C"]
     for bad in ("MATCH (a)-[:X]->(b) RETURN a", "MATCH (a:Nope) RETURN a", "MATCH (o:Operation)", "MATCH (o:Operation)--(p:Operation) RETURN o"):
         with pytest.raises(ValueError):
             to_sql(bad)
