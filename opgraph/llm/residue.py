@@ -1,7 +1,7 @@
 """Problem 3 - template residue, filler, error pages and script notices in place of content.
 
-Every whole text is met once, in Arrow batches, by an automaton of trigger words and one punctuation pattern.
-The few texts they stop are cut into lines and sentences, and each stopped segment is judged by
+Every whole text is met once, in Arrow batches, and cut into lines and sentences. Each segment is judged by what
+follows; a pattern is tried where a literal stands that all its matches need, as derived from the pattern.
 
 * placeholder detectors (template syntax, bracketed instructions, blanks),
 * instruction and filler phrases, filler vocabularies, and low information (few distinct words),
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 
 from opgraph.plans.materialize import materialize
 
+try:
+    from re import _parser
+except ImportError:  # without it every pattern is tried on every segment
+    _parser = None
 try:
     import ahocorasick
 except ImportError:  # the automaton only speeds up what the patterns below decide
@@ -74,8 +78,7 @@ SCRIPT_NEED = r"\b(?:enable[ds]?|enabling|allow(?:ed)?|activate|turn(?:ed)?|swit
 SCRIPT_PLACE = r"\b(?:browser|viewer|page|app|application|content|document|site|reload|loading|seconds|happens|navigateur|navegador|texte|text|lire|leer|ler|contenu|contenido|conteúdo|view|shown|run)\b"
 #: Words that pages about faults and notices are made of.
 FAULT_WORDS = "page pages server serveur servidor gateway host service viewer session account file document request requests content browser database connection renderer store upload download archive portal site url link error erreur exception code id ticket reference retry reload loading try again later sorry oops unavailable available expired denied access forbidden exist exists found loaded displayed delivered maintenance capacity timed timeout region sign login persists wrong javascript scripting scripts cookies script enable switch annex reading room invalid reply refused moved corrupt encrypted failed unexpectedly seconds moment administrator página código solicitada cargar documento archivo disponible introuvable demandé plus réessayez navegador servidor indisponível encontrada".split()
-#: What a segment must hold to be judged: one of these strings (they stand for themselves, commas separate them), or the punctuation below.
-TRIGGER_WORDS = "click,choose,your,goes here,appears here,comes here,delete,replace,instruction,drafting,guidance,construction,fill in,supplied,paste,tbd,tbc,todo,to do,to complete,be completed,be drafted,compléter,completar,remplir,preencher,copy,dummy,sample,filler,placeholder,specimen,mock,example text,provisoire,factice,provisional,layout,_title,_body,ipsum,dolor,lorem,consectetur,adipiscing,eiusmod,nostrud,incididunt,veniam,amet,labore,enim,magna,tempor,minim,aliqua,asdf,qwer,zxcv,blah,foo ,tttt,zzz,xxx,test ,error,erreur,http,code,forbidden,unauthori,gateway,timed,timeout,time-out,maintenance,over capacity,offline,corrupt,exist,unexpectedly,refused,invalid,cannot,can't,could not,couldn't,expired,failed,exception,wrong,requests,denied,répond,introuvable,disponible,disponível,pudo,puede,possível,moved,unavailable,available,gone,did not,does not,not found,no longer,later,sorry,oops,java,script,noscript,cookies,active content,browser,navigateur,navegador,reload,loading,null,server,viewer,page,session".split(",")
+#: A superset of how placeholders begin.
 TRIGGER_PUNCTUATION = r"[{}●«»\[]|<[<a-z]|\(\s*(?i:insert|enter|type|fill|add|provide|specify|state|name|date|amount|to be|tb[cd]|à|a )|%%|@@|__|#[a-z]+[_#]"
 # -------------------------------------------------------------------------------------------------
 SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -94,59 +97,113 @@ HOSTS = 3
 _PLACEHOLDER = re.compile(PLACEHOLDER)
 _INSTRUCTION, _FILLER, _FAULT, _SCRIPT, _NEED, _PLACE = (re.compile(p, re.IGNORECASE) for p in (INSTRUCTION, FILLER, FAULT, SCRIPT, SCRIPT_NEED, SCRIPT_PLACE))
 _PUNCTUATION = re.compile(TRIGGER_PUNCTUATION)
-_ANY_TRIGGER = re.compile("|".join(map(re.escape, TRIGGER_WORDS)))
 _LATIN, _LATIN_ONLY, _KEYBOARD, _FAULT_SET = map(frozenset, (LATIN, LATIN_ONLY, KEYBOARD, FAULT_WORDS))
+#: Letters that a pattern without case takes for i and s, though lower() does not make them so.
+_PLAIN = str.maketrans("\u0130\u0131\u017f", "iis")
+#: Most literals kept for one place of a pattern.
+MOST_LITERALS = 64
+
+
+def _literals(items) -> tuple[set[str] | None, set[str] | None]:
+    """Of a parsed pattern, in lower case: (all strings it can match, strings of which every match holds one); None if not known."""
+    run, best, whole = {""}, None, True
+
+    def consider(found: set[str] | None) -> None:
+        nonlocal best
+        if found and "" not in found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in items:
+        name, exact, needed = str(op), None, None
+        if name == "LITERAL":
+            exact = {chr(arg).lower()}
+        elif name == "IN" and len(arg) <= 8 and all(str(o) == "LITERAL" for o, _ in arg):
+            exact = {chr(c).lower() for _, c in arg}
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):  # they take no characters
+            exact = {""}
+        elif name == "SUBPATTERN":
+            exact, needed = _literals(arg[3])
+        elif name == "BRANCH":
+            parts = [_literals(x) for x in arg[1]]
+            exact = set().union(*(x for x, _ in parts)) if all(x is not None for x, _ in parts) else None
+            needed = set().union(*(y for _, y in parts)) if all(y for _, y in parts) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            one, must = _literals(inner)
+            exact = {"", *one} if one is not None and (low, high) == (0, 1) else None
+            needed = must if low else None
+        consider(needed)
+        if exact is not None and len(run) * len(exact) <= MOST_LITERALS:
+            run = {x + y for x in run for y in exact}
+        else:
+            consider(run)
+            run, whole = exact or {""}, False
+    consider(run)
+    return (run if whole else None), best
 
 
-def _trigger():
-    """A test for trigger words in lower-case text."""
+def _kinds():
+    """A test for the detectors (as bits) whose patterns can match in a text: every match of a pattern holds one of its literals."""
+    bits: dict[str, int] = {}
+    for bit, pattern in ((1, INSTRUCTION), (2, FILLER), (4, FAULT), (8, SCRIPT)):
+        needed = _literals(_parser.parse(pattern, re.IGNORECASE))[1] if _parser else None
+        if not needed:
+            return lambda segment: 15
+        for word in needed:
+            bits[word] = bits.get(word, 0) | bit
     if ahocorasick is None:
-        return lambda low: _ANY_TRIGGER.search(low) is not None
-    automaton = ahocorasick.Automaton()
-    for word in TRIGGER_WORDS:
-        automaton.add_word(word, True)
-    automaton.make_automaton()
-    return lambda low: next(automaton.iter(low), None) is not None
+        any_of = [(bit, re.compile("|".join(re.escape(w) for w, b in bits.items() if b & bit))) for bit in (1, 2, 4, 8)]
+        search = lambda low: sum(bit for bit, p in any_of if p.search(low))
+    else:
+        automaton = ahocorasick.Automaton()
+        for word, bit in bits.items():
+            automaton.add_word(word, bit)
+        automaton.make_automaton()
+
+        def search(low: str) -> int:
+            found = 0
+            for _, bit in automaton.iter(low):
+                found |= bit
+            return found
+
+    return lambda segment: search(segment.lower() if segment.isascii() else segment.translate(_PLAIN).lower())
+
+
+kinds_of = _kinds()
 
 
 def judge(segment: str) -> tuple[str | None, bool]:
     """(reason why this line or sentence is residue, or None; whether host evidence would make it so)."""
     words = WORD.findall(segment.lower())
     n = len(words)
+    kinds = kinds_of(segment)
     if _PUNCTUATION.search(segment) and _PLACEHOLDER.search(segment):
         return "placeholder", False
-    if _INSTRUCTION.search(segment):
+    if kinds & 1 and _INSTRUCTION.search(segment):
         return "instruction", False
-    if _FILLER.search(segment):
+    if kinds & 2 and _FILLER.search(segment):
         return "filler", False
-    if n >= 2 and sum(w in _LATIN for w in words) >= 0.6 * n and any(w in _LATIN_ONLY for w in words):
+    if n >= 2 and not _LATIN_ONLY.isdisjoint(words) and sum(w in _LATIN for w in words) >= 0.6 * n:
         return "filler", False
-    if n >= 3 and sum(w in _KEYBOARD for w in words) >= 0.6 * n:
+    if n >= 3 and not _KEYBOARD.isdisjoint(words) and sum(w in _KEYBOARD for w in words) >= 0.6 * n:
         return "filler", False
     if n >= LOW_LEAST and len(set(words)) <= min(LOW_MOST, LOW_RATIO * n) and not TABULAR.search(segment):
         return "filler", False
     if not 0 < n <= MOST_WORDS:
         return None, False
-    if _SCRIPT.search(segment) and _NEED.search(segment) and (n <= 7 or _PLACE.search(segment)):
+    if kinds & 8 and _SCRIPT.search(segment) and _NEED.search(segment) and (n <= 7 or _PLACE.search(segment)):
         return "script notice", False
     about = sum(w in _FAULT_SET for w in words) / n
-    if (n <= 7 or about >= 0.2) and _FAULT.search(segment):
+    if kinds & 4 and (n <= 7 or about >= 0.2) and _FAULT.search(segment):
         return "error message", False
     return None, n >= 3 and about >= 0.3
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hit = _trigger()
     schema = pa.schema([("id", pa.string()), ("ver", pa.string()), ("reason", pa.string()), ("host", pa.string()), ("masked", pa.string())])
     for batch in batches:
         out: list[tuple] = []
         for key, ver, title, text in zip(*(c.to_pylist() for c in batch.columns)):
-            low = text.lower()
-            marked = hit(low) or _PUNCTUATION.search(text)
-            words = text.split()
-            dull = len(words) >= LOW_LEAST and len(set(words)) <= LOW_RATIO * len(words)
-            if not (marked or dull):
-                continue
             segments = [x.strip() for x in SEGMENT.split(text)]
             segments = [x for x in segments if x]
             distinct = dict.fromkeys(segments)
@@ -156,12 +213,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reasons: set[str] = set()
             weak: list[str] = []
             for segment in distinct:
-                if dull or hit(segment.lower()) or _PUNCTUATION.search(segment):
-                    reason, maybe = judge(segment)
-                    if reason:
-                        reasons.add(reason)
-                    elif maybe:
-                        weak.append(segment)
+                reason, maybe = judge(segment)
+                if reason:
+                    reasons.add(reason)
+                elif maybe:
+                    weak.append(segment)
             if len(segments) >= 3 and len(set(segments)) < 0.5 * len(segments) and not any(TABULAR.search(x) for x in segments):
                 reasons.add("repetition")
             host, _, path = key.partition(":")

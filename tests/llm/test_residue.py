@@ -1,7 +1,12 @@
 import datetime
+import random
+import re
+import string
 
+import pyarrow as pa
 import pytest
 
+from opgraph.llm import residue
 from opgraph.llm.residue import find_residue, judge, residue_records
 
 CASES = [
@@ -54,3 +59,64 @@ def test_empty(spark):
     c = rows(spark, [])
     s = c.withColumnRenamed("chunk_id", "section_id")
     assert residue_records(c, s).collect() == []
+
+
+MISSED = [
+    "405 Method Not Allowed", "501 Not Implemented", "400 Bad Request", "Note to editor: shorten the second part.", "Task team will complete before appraisal.", "Section to be filled in by the author.",
+    "La base n'est plus accessible.", "Connection closed.", "The quick brown fox jumps over the lazy dog.", "Página no encontrada", "water pumps water pumps water pumps water pumps water pumps water pumps",
+]
+
+
+def scanned(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in ("h:a#0", "", None, text)], ["id", "ver", "title", "text"])
+    return [row for out in residue._scan(iter([batch])) for row in out.to_pylist()]
+
+
+@pytest.mark.parametrize("text", CASES + MISSED)
+def test_scan_passes_over_no_segment_that_judge_flags(text):
+    prose = "The council of the hill district met in June and agreed on the plan for the canals."
+    assert judge(text)[0] and judge(text)[0] in {r["reason"] for r in scanned(f"{prose}\n{text}\n{prose}")}
+
+
+def test_scan_keeps_weak_segments():
+    assert judge("Please try again in a moment.") == (None, True) and [r["masked"] for r in scanned("Please try again in a moment.")] == ["Please try again in a moment."]
+
+
+def draw(items, rng):
+    """A string that a parsed pattern may match."""
+    out = ""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "BRANCH":
+            out += draw(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += draw(arg[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(draw(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+        elif name == "IN":
+            members = [c for c in string.ascii_letters + string.digits + " _.:●…•-[]()" if re.fullmatch(rebuilt(arg), c)]
+            out += rng.choice(members) if members else chr(next(a for o, a in arg if str(o) == "LITERAL"))
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += "q"
+    return out
+
+
+def rebuilt(members):
+    kinds = {"CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_DIGIT": r"\d"}
+    part = {"NEGATE": lambda a: "^", "LITERAL": lambda a: re.escape(chr(a)), "RANGE": lambda a: f"{re.escape(chr(a[0]))}-{re.escape(chr(a[1]))}", "CATEGORY": lambda a: kinds[str(a)]}
+    return "[" + "".join(part[str(o)](a) for o, a in members) + "]"
+
+
+@pytest.mark.parametrize("bit, name", [(0, "PLACEHOLDER"), (1, "INSTRUCTION"), (2, "FILLER"), (4, "FAULT"), (8, "SCRIPT")])
+def test_literals_stand_in_every_match(bit, name):
+    pattern, rng, met = getattr(residue, name), random.Random(5), 0
+    tree = residue._parser.parse(pattern, re.IGNORECASE if bit else 0)
+    for _ in range(4000):
+        text = draw(tree, rng)
+        text = rng.choice((text, text.upper(), text.replace("i", "ı"), text.replace("s", "ſ"), text.replace("i", "İ"))) if bit else text
+        if re.search(pattern, text, re.IGNORECASE if bit else 0):
+            met += 1
+            assert residue.kinds_of(text) & bit if bit else residue._PUNCTUATION.search(text), text
+    assert met > 500
