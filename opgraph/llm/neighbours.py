@@ -9,9 +9,10 @@
    than one cut has substrings agree on a substring (pigeonhole); further cuts of the permuted code
    raise the chance for codes at a larger Hamming distance. Equal substrings are joined, the Hamming
    distance of the whole codes is tested inside the join, and the survivors are reranked on floats.
-4. A bucket of more than ``hot`` vectors (near copies of one text) is not joined: its members are searched
+4. A bucket of more than ``hot`` vectors (near copies of one text) is not joined: all its members are searched
    exactly against the bucket in blocks, keeping k per vector and block, so that no task meets the whole
-   bucket and no list of all its pairs is ever written.
+   bucket and no list of all its pairs is ever written. Where hot buckets overlap so much that it is less work, the
+   vectors of all of them are searched against each other once.
 """
 
 from __future__ import annotations
@@ -125,6 +126,8 @@ def _encode(mean: np.ndarray, projection: np.ndarray, bits: np.ndarray, floor: f
 def _block_best(k: int, floor: float | None, scored: bool = False):
     """For the cells of hot buckets: the k best candidates of every query of the cell."""
 
+    lowest = floor if floor is not None else -1.5
+
     def run(pdf):
         import pandas as pd
 
@@ -139,10 +142,15 @@ def _block_best(k: int, floor: float | None, scored: bool = False):
                 x = np.stack(part.vec.to_numpy()).astype(np.float64)
                 s = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T, ROUND)
                 s[part.vid.to_numpy()[:, None] == ids[None, :]] = -2
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"a": np.repeat(part.vid.to_numpy(), best.shape[1]), "b": ids[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()}))
+                # those above the k-th best, and of those equal to it the first
+                least = np.partition(s, -k, axis=1)[:, [-k]] if s.shape[1] > k else np.full((len(s), 1), -2.0)
+                row, col = np.nonzero(s >= np.maximum(least, lowest))
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[kept], col[kept]
+                out.append(pd.DataFrame({"a": part.vid.to_numpy()[row], "b": ids[col], "s": s[row, col]}))
         found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": []})
-        found = found[found.s >= (floor if floor is not None else -1.5)]
         found = pd.DataFrame({"a": found.a.astype("int64"), "b": found.b.astype("int64"), "s": found.s.astype("float64")})
         return found if scored else found[["a", "b"]]
 
@@ -151,7 +159,7 @@ def _block_best(k: int, floor: float | None, scored: bool = False):
 
 def most_similar(
     df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", version_col: str | None = "loaded_at",
-    k: int = 5, dim: int = 64, floor: float = 0.9, recall: float = 0.95, hot: int = 512, block: int = 2048, asks: int = 6,
+    k: int = 5, dim: int = 64, floor: float = 0.9, recall: float = 0.95, hot: int = 512, block: int = 2048,
 ) -> DataFrame:
     """``(id, neighbour, similarity, rank)``: up to ``k`` most similar other ids of every id.
 
@@ -190,7 +198,7 @@ def most_similar(
     distance = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1")))
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid")) & (distance <= F.greatest("a.radius", "b.radius")))
     pairs = near.select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
-    pairs = materialize(pairs.unionByName(_hot_pairs(index, reps, k, floor, hot, block, asks)).distinct(), "knn-pairs")
+    pairs = materialize(pairs.unionByName(_hot_pairs(index, reps, k, floor, hot, block)).distinct(), "knn-pairs")
 
     left = reps.select(F.col("vid").alias("a"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     right = reps.select(F.col("vid").alias("b"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
@@ -218,17 +226,21 @@ def most_similar(
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _hot_pairs(index: DataFrame, reps: DataFrame, k: int, floor: float, hot: int, block: int, asks: int) -> DataFrame:
-    """Exact search inside hot buckets: a vector asks in its first ``asks`` hot buckets and answers in all of them."""
+def _hot_pairs(index: DataFrame, reps: DataFrame, k: int, floor: float, hot: int, block: int) -> DataFrame:
+    """Exact search inside hot buckets: a vector asks and answers in all of its hot buckets; its k best are kept."""
     member = index.where(F.col("n") > hot).select("vid", "key", "n")
-    member = member.withColumn("mine", F.row_number().over(Window.partitionBy("vid").orderBy("key")) <= asks)
+    work = member.agg(F.sum(F.col("n").cast("double")).alias("pairs"), F.count_distinct("vid").alias("vids")).first()
+    if work.vids and work.vids**2 < work.pairs:
+        # any two vectors of a hot bucket are among these
+        member = member.select("vid").distinct().select("vid", F.lit(0).cast("long").alias("key"), F.lit(work.vids).cast("long").alias("n"))
     member = member.withColumn("cells", F.ceil(F.col("n") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("vid"), F.col("cells")).cast("int"))
     member = member.join(reps.select("vid", "vec"), "vid")
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    ask = member.where("mine").select("key", F.col("at").alias("qb"), other.alias("cb"), "vid", "vec", F.lit(True).alias("q"))
+    ask = member.select("key", F.col("at").alias("qb"), other.alias("cb"), "vid", "vec", F.lit(True).alias("q"))
     answer = member.select("key", other.alias("qb"), F.col("at").alias("cb"), "vid", "vec", F.lit(False).alias("q"))
     cells = ask.unionByName(answer)
-    found = cells.groupBy("key", "qb", "cb").applyInPandas(_block_best(k, floor), "a long, b long")
+    found = cells.groupBy("key", "qb", "cb").applyInPandas(_block_best(k, floor, scored=True), "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("rn") <= k)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -95,3 +95,17 @@ def test_substrings_cover_the_code_once_and_radius_grows():
 def test_rotations_are_orthogonal(dim):
     _, p = N.learn_rotations(np.random.default_rng(0).normal(size=(200, dim)))
     assert np.allclose(p[:, :dim].T @ p[:, :dim], np.eye(dim), atol=1e-8)
+
+
+def test_a_vector_asks_in_every_hot_bucket(spark):
+    # 1 and 2 are near copies that share only the last of their eight hot buckets
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=64).tolist() for i in range(3, 60)}
+    vectors[1] = rng.normal(size=64).tolist()
+    vectors[2] = (np.array(vectors[1]) + 0.01).tolist()
+    buckets = [[1 + key % 2, *range(3 + 3 * key, 6 + 3 * key)] for key in range(16)] + [[1, 2, 58, 59]]
+    members = [(vid, key, len(b)) for key, b in enumerate(buckets) for vid in b]
+    index = spark.createDataFrame(members, "vid long, key long, n long")
+    reps = spark.createDataFrame(list(vectors.items()), "vid long, vec array<float>")
+    for part in (index, index.where("key in (0, 16)")):  # searched bucket by bucket, or all members at once
+        assert [tuple(r) for r in N._hot_pairs(part, reps, 5, 0.9, hot=3, block=2).distinct().collect()] == [(1, 2)]
