@@ -5,8 +5,8 @@
 2. Class trigrams of prose-like sentences are counted over all documents. The alphabet of classes is fixed,
    so the table of counts has a bound that does not grow with the data; it is the model.
 3. A segment whose sequence is abnormally improbable (lists, menus, tags), or whose content words are
-   abnormally predictable from the same document (repeated keywords), is not prose. The threshold comes
-   from the distribution over all prose-like sentences.
+   abnormally predictable from the same document (repeated keywords, within the segment or across segments), is
+   not prose. The threshold comes from the distribution over all prose-like sentences.
 4. A document is flagged if such segments hold most of its words. Table rows, abbreviation lists and numbered
    references are set aside and count neither way.
 """
@@ -42,7 +42,9 @@ NUMBERED = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 #: Sentences that extraction broke over lines.
 HYPHENATED = re.compile(r"(?<=[^\W\d_A-Z])-\n(?=[^\W\d_A-Z])")
 WRAPPED = re.compile(r"(?<=[^\W\d_A-Z]|[,;])\n(?=[^\W\d_A-Z])|\n[ \t]+(?=\S)")
-REFERENCE = re.compile(r"^\s*\[\d+\]\s")
+REFERENCE = re.compile(r"^\s*\[\d+\]\s(?!\s*(?:https?://\S+|www\.\S+)\s*$)")
+#: A row of cells without figures and rules, as menus have them.
+MENU = re.compile(r"[^\d]*[^\W\d_][^\d]*")
 ACRONYM = re.compile(r"^\s*([A-Z][A-Z0-9]{1,9})\s*(?:[:–—-]\s*|\s)(.+)$")
 #: Least words of a segment that is scored by itself; shorter ones are joined with their neighbours.
 LEAST_WORDS = 5
@@ -52,6 +54,8 @@ PROSE_SHARE = 0.15
 DEVIATIONS = 8.0
 #: Words of the segments that are flagged, of all scored words, from which a document is flagged.
 MOST = 0.5
+#: Times that a pair of content words stands in a document from which it is a repeated phrase, and the share of such pairs in a segment from which it is predictable.
+RECURS, RECURRING = 5, 0.8
 START, STOP = "<s>", "</s>"
 
 
@@ -96,11 +100,12 @@ def segments(text: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     pending: list[str] = []
     size = 0
-    for line in WRAPPED.sub(" ", HYPHENATED.sub("", text)).split("\n"):
-        line = line.strip()
+    lines = [x.strip() for x in WRAPPED.sub(" ", HYPHENATED.sub("", text)).split("\n")]
+    tables = _tables(lines)
+    for at, line in enumerate(lines):
         if not line:
             continue
-        cells = line.startswith("|") and line.endswith("|") and line.count("|") > 2
+        cells = at in tables
         acronym = ACRONYM.match(line)
         if cells or REFERENCE.match(line) or (acronym and _expands(acronym[1], acronym[2])):
             out.append(("aside", line))
@@ -120,6 +125,20 @@ def segments(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _tables(lines: list[str]) -> set[int]:
+    """Lines that are rows of tables; a row of words that stands alone or is only repeated is a menu."""
+    out: set[int] = set()
+    block: list[int] = []
+    for at, line in enumerate([*lines, "."]):
+        if line.startswith("|") and line.endswith("|") and line.count("|") > 2:
+            block.append(at)
+        elif line:
+            if len({lines[i] for i in block}) > 1 or (block and not MENU.fullmatch(lines[block[0]])):
+                out.update(block)
+            block = []
+    return out
+
+
 def _expands(acronym: str, expansion: str) -> bool:
     """The capitals of the expansion spell most of the acronym, in order."""
     letters = re.sub(r"\d", "", acronym).lower()
@@ -139,7 +158,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for kind, part in segments(text):
+            for kind, part in dict.fromkeys(segments(text)):  # a repeated line teaches once a document
                 if kind == "aside":
                     continue
                 tokens, content, function = classes(part)
@@ -211,13 +230,14 @@ def weigh(text: str, model: Model) -> list[dict]:
     """The scored segments of a document; ``prose`` marks the sentences that set the threshold."""
     parts = [classes(part) for kind, part in segments(text) if kind == "text"]
     everything = Counter(w for _, content, _ in parts for w in content)
+    pairs = Counter(p for _, content, _ in parts for p in zip(content, content[1:]))
     out = []
     for tokens, content, function in parts:
         words = len(content) + function
         size = words + tokens.count("<url>") + tokens.count("<n>")
         if size:
             prose = words >= LEAST_WORDS and function >= PROSE_SHARE * words and tokens[-1] in ".?!"
-            out.append({"surprise": model.surprise(tokens), "words": size, "stuffed": _stuffed(content, function, everything), "prose": prose})
+            out.append({"surprise": model.surprise(tokens), "words": size, "stuffed": _stuffed(content, function, everything) or _recurring(content, pairs), "prose": prose})
     return out
 
 
@@ -234,6 +254,15 @@ def _stuffed(content: list[str], function: int, everything: Counter[str]) -> boo
     return math.exp(entropy) <= 0.5 * n + 0.5 and max(counts.values()) >= 2 and sum(everything[w] for w in counts) / len(counts) >= 4
 
 
+def _recurring(content: list[str], pairs: Counter[tuple[str, str]]) -> bool:
+    """Abnormally predictable from the whole document: nearly all steps from word to word recur in it.
+
+    The perplexity of the segment under the document's own word pairs is low, however the segment reads by itself.
+    """
+    steps = list(zip(content, content[1:]))
+    return len(steps) >= 2 and sum(pairs[s] >= RECURS for s in steps) >= RECURRING * len(steps)
+
+
 def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", deviations: float = DEVIATIONS) -> DataFrame:
     """``(id, flagged, scored, surprise, is_spam)`` of every document with text, from whole texts.
 

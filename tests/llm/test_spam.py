@@ -39,3 +39,14 @@ def test_segments_and_classes():
     assert {k for k, _ in segments(PLAIN[0])} == {"aside"} and {k for k, _ in segments(PLAIN[1])} == {"aside"}
     tokens, content, function = classes("The pump #tag https://x.example 12.5 is new.")
     assert tokens[0] == "the" and "<url>" in tokens and "<tag>" in tokens and "<n>" in tokens and tokens[-1] == "." and function == 2 and "pump" in content
+
+
+def test_phrases_repeated_across_segments(spark):
+    once, several = "Cheap tractor loans in Quorania for farmers.", [f"Cheap tractor loans in Quorania for {x} farmers." for x in ("young", "hill", "dairy", "rice", "coastal", "new")]
+    texts = [(i, t) for i, t in corpus() if i is not None and i < 100] + [(400, "\n".join([once] * 50)), (401, "\n".join(several * 4)), (402, once + " " + " ".join(PROSE))]
+    assert sorted(r.doc_id for r in spam_pages(frame(spark, texts)).collect()) == [400, 401]
+
+
+def test_bare_links_and_menus_are_not_set_aside():
+    assert [k for k, _ in segments("[1] https://a.example/x\n\n| Home | News | Jobs |\n\nText.")] == ["text"]
+    assert {k for k, _ in segments("[1] Water board, report, https://a.example/x\n| Lot | Cost |\n| Pumps | 12 |")} == {"aside"}
