@@ -6,9 +6,10 @@
    code. Every vector of the table is indexed; one that lies near the mean, as in a table that one dense cluster rules, is
    also indexed without centring, so that its chance to be found depends on its similarities alone.
 3. The code is cut into ``width``-bit substrings, each an index table. Two codes that differ in fewer bits
-   than one cut has substrings agree on a substring (pigeonhole); further cuts of the permuted code
-   raise the chance for codes at a larger Hamming distance. Equal substrings are joined, the Hamming
-   distance of the whole codes is tested inside the join, and the survivors are reranked on floats.
+   than one cut has substrings agree on a substring (pigeonhole). Further cuts of the permuted code replace the probing of
+   neighbouring keys: at the radius that a cosine of 0.90 needs, probing every key within it reads a large share of all
+   buckets (README). Equal substrings are joined, the Hamming distance of the whole codes is tested inside the join, and
+   the survivors are reranked on floats.
 4. A bucket of more than ``hot`` vectors (near copies of one text) is not joined: all its members are searched
    exactly against the bucket in blocks, keeping k per vector and block, so that no task meets the whole
    bucket and no list of all its pairs is ever written. Where hot buckets overlap so much that it is less work, the
@@ -34,6 +35,8 @@ SAMPLE = 8192
 ROUND = 6
 #: Centred squared norm below which a unit vector lies so near the mean that centring widens its angles too much.
 NEAR = 0.55
+#: Similarity that the index is laid out for where every vector shall get k neighbours.
+FLOOR = 0.9
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -159,17 +162,19 @@ def _block_best(k: int, floor: float | None, scored: bool = False):
 
 def most_similar(
     df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", version_col: str | None = "loaded_at",
-    k: int = 5, dim: int = 64, floor: float = 0.9, recall: float = 0.95, hot: int = 512, block: int = 2048,
+    k: int = 5, dim: int = 64, floor: float | None = 0.9, recall: float = 0.95, hot: int = 512, block: int = 2048,
 ) -> DataFrame:
     """``(id, neighbour, similarity, rank)``: up to ``k`` most similar other ids of every id.
 
     Similarity is the cosine rounded to 6 digits; ties go to the smaller neighbour. Only neighbours of at
     least ``floor`` are returned: the index is laid out for that angle (a pair at the floor is found with chance
-    ``recall``, a closer one more surely), and k neighbours above it are the k most similar of all. Only the latest row of an id counts; null ids and unusable
+    ``recall``, a closer one more surely), and k neighbours above it are the k most similar of all. With ``floor=None``
+    every vector gets k neighbours at whatever similarity: those that the index answers in full (at FLOOR) are done, the
+    others are searched exactly in blocks against all vectors. Only the latest row of an id counts; null ids and unusable
     vectors (null, other length, not finite, all zero) neither ask nor answer; equal vectors are neighbours
     at 1.0; an empty table gives an empty result. Other columns of ``df`` are ignored.
     """
-    spark = df.sparkSession
+    lowest = FLOOR if floor is None else floor
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(version_col).alias("ver") if version_col else F.lit(0).alias("ver"))
     base = latest_wide(base, "id", ["vec"], "ver").where(usable(F.col("vec"), dim))
     keyed = base.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(7), "vec"))
@@ -179,7 +184,9 @@ def most_similar(
     heads = keyed.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     reps = heads.groupBy("h1", "h2").agg(F.min_by("vec", "rn").alias("vec"), F.min("id").alias("id0"), F.sort_array(F.collect_list("id")).alias("members"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    reps = materialize(reps.withColumn("norm", norm).orderBy("id0").withColumn("vid", F.monotonically_increasing_id()), "knn-reps")
+    # numbers in the order of the first ids, so that ties go to the smaller: ids alone are sorted, vectors stay where the grouping put them
+    order = materialize(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id0")).orderBy("id0").select("h1", "h2", F.monotonically_increasing_id().alias("vid")), "knn-order")
+    reps = materialize(reps.withColumn("norm", norm).join(order, ["h1", "h2"]), "knn-reps")
 
     n = reps.count()
     drawn = reps.select("vec", F.xxhash64("h1", "h2").alias("_o")).orderBy("_o").limit(SAMPLE).select("vec").toArrow()
@@ -188,25 +195,28 @@ def most_similar(
     spread = float(np.mean(np.sum((sample / np.linalg.norm(sample, axis=1, keepdims=True) - mean) ** 2, axis=1)))
     # buckets of some 16 vectors at every size of the table, and as many tables as the floor then needs
     width = int(min(32, max(8, math.ceil(math.log2(max(n, 2))) - 4)))
-    bits = substring_bits(width, tables_for(floor, max(spread, NEAR), width, recall))
+    bits = substring_bits(width, tables_for(lowest, max(spread, NEAR), width, recall))
 
-    codes = reps.select("vid", "vec").mapInArrow(_encode(mean, projection, bits, floor), "vid long, c0 long, c1 long, radius int, keys array<long>")
+    codes = materialize(reps.select("vid", "vec").mapInArrow(_encode(mean, projection, bits, lowest), "vid long, c0 long, c1 long, radius int, keys array<long>"), "knn-codes")
     index = codes.select("vid", "c0", "c1", "radius", F.explode("keys").alias("key"))
-    index = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    cold = index.where(F.col("n") <= hot).drop("n")
+    # members of every bucket, counted where they are read; a bucket of any size reaches one task as one number a task
+    crowded = materialize(codes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "knn-hot")
+    cold = index.join(crowded.select("key"), "key", "left_anti")
     a, b = cold.alias("a"), cold.alias("b")
     distance = F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))) + F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1")))
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid")) & (distance <= F.greatest("a.radius", "b.radius")))
     pairs = near.select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
-    pairs = materialize(pairs.unionByName(_hot_pairs(index, reps, k, floor, hot, block)).distinct(), "knn-pairs")
+    pairs = materialize(pairs.unionByName(_hot_pairs(index.select("vid", "key").join(crowded, "key"), reps, k, lowest, hot, block)).distinct(), "knn-pairs")
 
     left = reps.select(F.col("vid").alias("a"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     right = reps.select(F.col("vid").alias("b"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("va", "vb", "na", "nb").alias("s")).where(F.col("s") >= floor)
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("va", "vb", "na", "nb").alias("s")).where(F.col("s") >= lowest)
     both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
     # k groups of equal vectors hold the k best ids: cut before the ids are attached
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     both = both.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
+    if floor is None:
+        both = _with_rest(materialize(both, "knn-near"), reps, k, dim, block)
     ids = reps.select(F.col("vid").alias("b"), F.explode("members").alias("neighbour"))
     others = both.join(ids, "b").select("a", "neighbour", "s")
     own = reps.select(F.col("vid").alias("a"), F.explode("members").alias("neighbour"), F.lit(1.0).alias("s")).join(
@@ -226,9 +236,18 @@ def most_similar(
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _with_rest(near: DataFrame, reps: DataFrame, k: int, dim: int, block: int) -> DataFrame:
+    """``near`` with the k best of every vector for which the index holds fewer, found in blocks against all vectors."""
+    full = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("a")
+    short = reps.join(full, reps["vid"] == full["a"], "left_anti")
+    exact = exact_neighbours(short.select("vid", "vec"), reps.select("vid", "vec"), "vid", "vec", k, dim, 4 * block)
+    rest = exact.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.col("similarity").alias("s"))
+    return near.join(full, "a", "left_semi").unionByName(rest)
+
+
 def _hot_pairs(index: DataFrame, reps: DataFrame, k: int, floor: float, hot: int, block: int) -> DataFrame:
     """Exact search inside hot buckets: a vector asks and answers in all of its hot buckets; its k best are kept."""
-    member = index.where(F.col("n") > hot).select("vid", "key", "n")
+    member = index.select("vid", "key", "n")
     work = member.agg(F.sum(F.col("n").cast("double")).alias("pairs"), F.count_distinct("vid").alias("vids")).first()
     if work.vids and work.vids**2 < work.pairs:
         # any two vectors of a hot bucket are among these

@@ -109,3 +109,16 @@ def test_a_vector_asks_in_every_hot_bucket(spark):
     reps = spark.createDataFrame(list(vectors.items()), "vid long, vec array<float>")
     for part in (index, index.where("key in (0, 16)")):  # searched bucket by bucket, or all members at once
         assert [tuple(r) for r in N._hot_pairs(part, reps, 5, 0.9, hot=3, block=2).distinct().collect()] == [(1, 2)]
+
+
+def test_every_vector_gets_neighbours_without_a_floor(spark):
+    rng = np.random.default_rng(4)
+    vectors = {**clustered(90), **{f"r{i:03d}": rng.normal(size=64).tolist() for i in range(200)}}
+    got = {}
+    for r in sorted(N.most_similar(frame(spark, vectors.items()), floor=None).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.id, []).append(r.neighbour)
+    truth = brute(vectors, 5, -2)
+    hit = sum(len(set(got[i]) & {b for b, _ in truth[i]}) for i in vectors)
+    assert set(got) == set(vectors) and all(len(v) == 5 for v in got.values()) and hit >= 0.99 * 5 * len(vectors)
+    few = frame(spark, list(vectors.items())[:3])
+    assert len(N.most_similar(few, floor=None).collect()) == 6
