@@ -146,15 +146,19 @@ def split_oversized(
     """Pieces of every text of more than ``limit`` tokens: kind, id, piece number, text, sizes, offsets, boundary.
 
     Whole texts are counted, whatever a size column says. Null and empty texts, null ids and texts of at most
-    ``limit`` tokens give no piece. A re-delivered id counts once (latest ``version_col``; of rows of
-    equal version the greatest text). A text without any boundary is cut between tokens, never inside
+    ``limit`` tokens give no piece. A re-delivered id counts once, with its latest ``version_col``: an id whose newest text
+    fits gives no piece whatever older texts were (of several long texts of the newest version the greatest counts). A text without any boundary is cut between tokens, never inside
     one. ``overlap`` must be less than ``limit``.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(version_col).alias("ver") if version_col else F.lit(0).alias("ver"))
+    newest = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("ver").alias("newest"))
     long = rows.where(at_least_tokens(F.col("text"), limit + 1)).where(count_tokens(F.col("text")) > limit)
-    long = latest(long, "id", ["text"], "ver").select(F.lit(kind).alias("record_kind"), "id", "text")
+    # one shuffle by id with a fixed number of partitions: cutting costs far more than its bytes tell, so they are not coalesced
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = latest(long.repartition(parts, "id").withColumn("at", F.col("ver")), "id", ["at", "text"], "ver")
+    long = long.join(newest, "id").where(F.col("at").eqNullSafe(F.col("newest"))).select(F.lit(kind).alias("record_kind"), "id", "text")
     return long.mapInArrow(_split(limit, overlap), _PIECES).where(F.col("pieces") > 1)
 
 

@@ -71,3 +71,11 @@ def test_rows(spark):
     assert split_oversized(df.limit(0), "chunk_id").collect() == []
     with pytest.raises(ValueError):
         split_oversized(df, "chunk_id", overlap=400)
+
+
+def test_only_the_newest_text_counts(spark):
+    at = datetime.datetime(2024, 1, 1)
+    long, short = "word " * 900, "word " * 20
+    rows = [("a", long, at), ("a", short, at + datetime.timedelta(1)), ("b", short, at), ("b", long, at + datetime.timedelta(1)), ("c", long, None), ("d", long, None), ("d", None, at), (None, long, at)]
+    df = spark.createDataFrame(rows, "id string, text string, loaded_at timestamp")
+    assert sorted({r.record_id for r in split_oversized(df, "id").collect()}) == ["b", "c"]
