@@ -2,7 +2,8 @@
 
 Plans that read an intermediate result several times write it once as Parquet below
 ``spark.checkpoint.dir``. The files live on storage that all executors share, so that a lost executor
-costs only the tasks it was running. A local folder is used only where the session names none.
+costs only the tasks it was running. A local folder is used only where the session names none and runs in one process;
+on a cluster without the setting, writing raises.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     known = getattr(spark, "_opgraph_dir", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="opgraph-")
