@@ -22,6 +22,12 @@ def _search(embeddings: DataFrame) -> DataFrame:
     return neighbours.exact_neighbours(embeddings.where(F.col("vec_id") % 50 == 0), embeddings, "vec_id", "embedding")
 
 
+def _segment_hosts(chunks: DataFrame) -> DataFrame:
+    """How many masked segments of the chunks stand in how many documents: the count behind the host evidence."""
+    counted = residue.segment_hosts(residue.scan([residue.table_rows(chunks, "chunk_id", kind="chunk")]))
+    return counted.groupBy("hosts").agg(F.count(F.lit(1)).alias("segments"))
+
+
 def _pieces_kept(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Tokens of every split record, counted from its pieces without what they share, and whether each piece keeps the limits."""
     pieces = split.split_records(chunks, sections)
@@ -52,6 +58,7 @@ def queries() -> dict[str, Query]:
         "p1_search": _over(_search, "embeddings"),
         "p2_found": _over(lambda hits: topn.best_hits(hits).select("project_id", "hit_id"), "hits"),
         "p3_found": _over(lambda c, s: residue.residue_records(c, s).select("record_kind", "record_id"), "chunks", "sections"),
+        "p3_hosts": _over(_segment_hosts, "chunks"),
         "p4_found": _over(split.oversized_records, "chunks", "sections"),
         "p4_pieces": _over(split.split_records, "chunks", "sections"),
         "p4_kept": _over(_pieces_kept, "chunks", "sections"),
@@ -99,6 +106,11 @@ def oracle_sql() -> dict[str, str]:
             scored AS (SELECT a.id AS id, b.id AS neighbour, {_COSINE} AS s FROM usable a JOIN usable b ON a.id <> b.id)
             SELECT id, neighbour, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour)::INT AS rank FROM scored
             QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) <= 5""",
+        "p3_hosts": r"""
+            WITH t AS (SELECT split_part(chunk_id, ':', 1) AS host, regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g') AS text FROM chunks WHERE text <> ''),
+            s AS (SELECT host, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS segment FROM t),
+            m AS (SELECT regexp_replace(lower(segment), '[0-9a-f]*[0-9][0-9a-f]*', '0', 'g') AS mask, count(DISTINCT host) AS hosts FROM s WHERE segment <> '' GROUP BY 1)
+            SELECT hosts, count(*) AS segments FROM m GROUP BY hosts""",
         "p4_found": f"SELECT record_kind, record_id FROM {_LONG}",
         "p4_kept": f"SELECT record_kind, record_id, tokens, true AS within_limits FROM {_LONG}",
         "p6_kept": f"SELECT doc_id, max(n) AS tokens, ceil(max(n) / 2048)::BIGINT AS pieces, 0 AS overfull FROM (SELECT doc_id, {_TOKENS}::BIGINT AS n FROM documents WHERE text <> '') WHERE n > 0 GROUP BY doc_id",

@@ -1,20 +1,24 @@
 """Problem 3 - template residue, filler, error pages and script notices in place of content.
 
-Every whole text is met once, in Arrow batches, and cut into lines and sentences. Each segment is judged by what
-follows; a pattern is tried where a literal stands that all its matches need, as derived from the pattern.
+Every whole text is met once, in Arrow batches, and cut into lines and sentences. Two kinds of evidence are combined.
 
-* placeholder detectors (template syntax, bracketed instructions, blanks),
-* instruction and filler phrases, filler vocabularies, and low information (few distinct words),
-* fault and script-notice grammar: a short segment whose words are mostly about pages, servers and browsers,
-* host evidence: a weak segment counts if the same masked segment stands in several documents (hosts) and
-  shares no term with the address slug or the title of the records that hold it.
+1. Detectors judge a segment by itself: placeholder syntax, author instructions, filler and low information, and the
+   grammar of fault messages and script notices. A pattern is tried where a literal stands that all its matches need.
+2. Host evidence needs no word of the message. Every segment, masked for numbers, is counted by the documents (hosts) that
+   hold it and compared with the terms of address slug, title and the rest of the body. A segment that stands in
+   several documents, mostly shares no term with them, and in at least half of them stands beside other residue is
+   a response of the host (an error line of any wording, its footer, its code), and makes residue of every record
+   that holds it; that spreads until no further segment joins. Segments whose words are mostly about pages and servers need no such company.
 
 Long sentences that only speak of servers, errors or scripts have a low share of such words and do not count.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,13 +56,13 @@ INSTRUCTION = "|".join((
     r"\bclick (?:or tap )?here to (?:enter|add|insert|edit)", r"^\W*choose an? (?:item|option|date)\W*$", r"^\W*(?:type|enter|write|insert|add) your (?:\w+ ){1,3}here\b",
     r"^\W*your (?:\w+ ){1,3}(?:appears?|goes|will appear|comes) here\W*$", r"\b(?:text|content|title|heading|narrative|image|body) (?:goes|comes|appears) here\b",
     r"\bdelete this (?:note|text|paragraph|instruction|box|line|section)\b", r"\breplace this (?:text|paragraph|section|note|sentence|line|box)\b", r"\binstructions? (?:to|for) (?:the )?authors?\b\s*:",
-    r"^\W*drafting note\b", r"^\W*guidance\s*:", r"^\W*(?:note|instruction) to (?:drafter|editor|author|task team|ttl)\b", r"\b(?:task )?team (?:to|will|should) complete\b(?= (?:before|this|after|by))", r"\bsection under construction\b", r"\bcopy from (?:the )?(?:concept note|template|previous)\b",
-    r"\bfill in (?:after|before|once|here|this|the blanks?)\b", r"\bno text supplied\b", r"\b[A-Z]{3,}_(?:TITLE|BODY|SOURCE|TEXT|NAME|DATE)\b(?=\s*(?:/|$))", r"\bpaste (?:the )?(?:\w+ ){1,3}(?:here|table|text)\b(?=\W*$)", r"\bremove (?:when|once|after|before) (?:done|complete|submission|finished)",
+    r"^\W*drafting note\b", r"^\W*guidance\s*:", r"^\W*(?:note|instruction) to (?:drafter|editor|author|task team|ttl)\b", r"\b(?:task )?team (?:to|will|should) complete\b(?= (?:before|this|after|by))", r"\bsection under construction\b",
+    r"\bfill in (?:after|before|once|here|this|the blanks?)\b", r"\bpaste (?:the )?(?:\w+ ){0,3}here\b", r"\bremove (?:when|once|after|before) (?:done|complete|submission|finished)",
     r"^\W*(?:à compléter|a completar|para completar|por completar|à remplir|a preencher)\b", r"\bto be (?:completed|drafted|written|filled in) by (?:the )?(?:task team|author|team|ttl)\b", r"^\W*(?:tbd|tbc|todo|to do|xxx+)\W*$",
 ))
 FILLER = "|".join((
-    r"\b(?:dummy|sample|filler|placeholder|example|mock|specimen) (?:text|content|copy|paragraph|body)\b(?! (?:was|were|of the))", r"\bbody copy(?: body copy)+", r"\btexte (?:provisoire|factice|d'exemple|de remplissage)\b", r"\btexto (?:provisional|provisorio|provisório|de ejemplo|de exemplo|de relleno|simulado)\b",
-    r"\bused to (?:check|test|show|fill) the (?:page |document )?layout\b", r"\blorem ipsum\b", r"\bthe quick brown fox\b",
+    r"\b(?:dummy|sample|filler|placeholder|example|mock|specimen) (?:text|content|copy|paragraph|body)\b(?! (?:was|were|of the))", r"\btexte (?:provisoire|factice|d'exemple|de remplissage)\b", r"\btexto (?:provisional|provisorio|provisório|de ejemplo|de exemplo|de relleno|simulado)\b",
+    r"\blorem ipsum\b", r"\bthe quick brown fox\b",
 ))
 #: Words of the usual pseudo-Latin filler, and of keyboard filler.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -67,17 +71,17 @@ KEYBOARD = "asdf asdfg asdfgh qwer qwert qwerty zxcv zxcvb blah foo bar baz xxx
 STATUS = r"bad request|unauthori[sz]ed|forbidden|not found|method not allowed|request time-?out|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway time-?out|temporarily unavailable|moved permanently"
 FAULT = "|".join((
     r"^\W*(?:http|error|erreur|código|code|status)?\W*[45]\d\d\W+(?:error\W+)?(?:" + STATUS + r")\b", r"^\W*(?:http|error|erreur|error code)\W*[45]\d\d\b", r"^\W*(?:" + STATUS + r")\W*$",
-    r"\b(?:is|are|was) (?:currently |temporarily )?(?:not available|unavailable|down for maintenance|over capacity|offline|under maintenance|corrupt|encrypted|denied|forbidden)\b", r"\bno longer (?:exists?|available)\b",
-    r"\b(?:has |have )?timed out\b", r"\b(?:ended|stopped|closed|terminated) unexpectedly\b", r"\brefused the connection\b", r"\bsent an? (?:invalid|empty|bad) (?:reply|response|answer)\b",
+    r"\b(?:is|are|was) (?:currently |temporarily )?(?:not available|unavailable|down for maintenance|offline|under maintenance|denied|forbidden)\b", r"\bno longer (?:exists?|available)\b",
+    r"\b(?:has |have )?timed out\b", r"\b(?:ended|stopped|closed|terminated) unexpectedly\b",
     r"\b(?:cannot|can't|can not|could not|couldn't) be (?:found|reached|displayed|loaded|opened|delivered|shown|retrieved|read|processed|completed)\b", r"\bdid not (?:answer|respond|load|reply)\b", r"\bdoes not (?:exist|respond|load)\b", r"\bhas (?:moved|expired|been removed|been moved)\b",
     r"\bfailed to (?:load|open|connect|fetch|render)\b", r"\b(?:connection|request|login|upload|download) (?:failed|refused|reset|closed|expired)\b", r"\bunhandled (?:exception|error)\b", r"\bnull (?:reference|pointer)\b", r"\bsomething went wrong\b", r"\btoo many requests\b", r"\bpage not found\b", r"\baccess (?:to this \w+ )?(?:is |was )?denied\b", r"\bstack ?trace\b|\bsegmentation fault\b|\bfatal error\b",
     r"\bne répond (?:pas|plus)\b", r"\bintrouvable\b", r"\bn'est (?:plus|pas) (?:disponible|accessible)\b", r"\bn'a pas pu être (?:chargée?|affichée?|trouvée?)\b", r"\bno se (?:pudo|puede|encontró|encuentra)\b.{0,40}\b(?:página|documento|archivo|servidor|cargar)\b", r"\bno (?:está|esta) disponible\b", r"\bnão (?:foi possível|está disponível|encontrad[ao])\b", r"\b(?:page|página) (?:introuvable|no encontrada|não encontrada)\b",
 ))
-SCRIPT = r"\b(?:java ?script|noscript|scripting|client(?:-side)? scripts?|active content|scripts? de navigateur|cookies)\b"
+SCRIPT = r"\b(?:java ?script|noscript|scripting|client-side scripts?|cookies)\b"
 SCRIPT_NEED = r"\b(?:enable[ds]?|enabling|allow(?:ed)?|activate|turn(?:ed)?|switch(?:ed)?|must|has to|have to be|requires?|required|needs?|off|on|disabled|blocked|bloque|bloqueado|active[rz]?|activez|activar?|active|habilit\w+|désactivé|requiert|nécessite|unsupported|support)\b"
 SCRIPT_PLACE = r"\b(?:browser|viewer|page|app|application|content|document|site|reload|loading|seconds|happens|navigateur|navegador|texte|text|lire|leer|ler|contenu|contenido|conteúdo|view|shown|run)\b"
 #: Words that pages about faults and notices are made of.
-FAULT_WORDS = "page pages server serveur servidor gateway host service viewer session account file document request requests content browser database connection renderer store upload download archive portal site url link error erreur exception code id ticket reference retry reload loading try again later sorry oops unavailable available expired denied access forbidden exist exists found loaded displayed delivered maintenance capacity timed timeout region sign login persists wrong javascript scripting scripts cookies script enable switch annex reading room invalid reply refused moved corrupt encrypted failed unexpectedly seconds moment administrator página código solicitada cargar documento archivo disponible introuvable demandé plus réessayez navegador servidor indisponível encontrada".split()
+FAULT_WORDS = "page pages server serveur servidor gateway host service browser session account file document request requests content connection database download upload site url link website error erreur exception code id retry reload refresh loading try again later sorry unavailable available expired denied access forbidden exist exists found loaded displayed maintenance timed timeout sign login administrator javascript scripting scripts cookies script enable página código solicitada cargar documento archivo disponible introuvable demandé réessayez navegador navigateur servidor indisponível encontrada invalid refused failed".split()
 #: A superset of how placeholders begin.
 TRIGGER_PUNCTUATION = r"[{}●«»\[]|<[<a-z]|\(\s*(?i:insert|enter|type|fill|add|provide|specify|state|name|date|amount|to be|tb[cd]|à|a )|%%|@@|__|#[a-z]+[_#]"
 # -------------------------------------------------------------------------------------------------
@@ -86,13 +90,14 @@ HYPHENATED = re.compile(r"(?<=[^\W\d_A-Z])-\n(?=[^\W\d_A-Z])")
 WRAPPED = re.compile(r"(?<=[^\W\d_]|[,;])\n(?=[^\W\d_A-Z])|\n[ \t]+(?=\S)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 MASK = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
-TABULAR = re.compile(r"^\s*\||\d")
-#: A segment of more words than this is a sentence that speaks of faults, not a fault message.
+#: A segment of more words than this that speaks of faults is no message by itself; host evidence decides on it.
 MOST_WORDS = 14
-#: A segment of LOW_LEAST or more words is low in information with at most LOW_MOST distinct words, less than LOW_RATIO of all.
-LOW_RATIO, LOW_LEAST, LOW_MOST = 0.5, 12, 12
-#: Documents that must hold a masked segment before its repetition is evidence.
-HOSTS = 3
+#: A segment of LOW_LEAST or more words is low in information with at most LOW_RICHNESS distinct words a square root of all.
+LOW_RICHNESS, LOW_LEAST = 1.75, 12
+#: Documents that must hold a masked segment before its repetition is evidence; the share of them that must hold other residue, and that must not share its terms.
+HOSTS, BESIDE, APART = 3, 0.5, 0.5
+#: Share of words about pages and servers from which a segment needs no residue beside it.
+ABOUT = 0.3
 
 _PLACEHOLDER = re.compile(PLACEHOLDER)
 _INSTRUCTION, _FILLER, _FAULT, _SCRIPT, _NEED, _PLACE = (re.compile(p, re.IGNORECASE) for p in (INSTRUCTION, FILLER, FAULT, SCRIPT, SCRIPT_NEED, SCRIPT_PLACE))
@@ -172,9 +177,9 @@ def _kinds():
 kinds_of = _kinds()
 
 
-def judge(segment: str) -> tuple[str | None, bool]:
-    """(reason why this line or sentence is residue, or None; whether host evidence would make it so)."""
-    words = WORD.findall(segment.lower())
+def judge(segment: str, words: list[str] | None = None) -> tuple[str | None, bool]:
+    """(reason why this line or sentence is residue, or None; whether repetition on several hosts alone would make it so)."""
+    words = WORD.findall(segment.lower()) if words is None else words
     n = len(words)
     kinds = kinds_of(segment)
     if _PUNCTUATION.search(segment) and _PLACEHOLDER.search(segment):
@@ -187,46 +192,108 @@ def judge(segment: str) -> tuple[str | None, bool]:
         return "filler", False
     if n >= 3 and not _KEYBOARD.isdisjoint(words) and sum(w in _KEYBOARD for w in words) >= 0.6 * n:
         return "filler", False
-    if n >= LOW_LEAST and len(set(words)) <= min(LOW_MOST, LOW_RATIO * n) and not TABULAR.search(segment):
+    if n >= LOW_LEAST and len(set(words)) <= LOW_RICHNESS * math.sqrt(n) and not _tabular(segment, words):
         return "filler", False
-    if not 0 < n <= MOST_WORDS:
+    if not n:
         return None, False
-    if kinds & 8 and _SCRIPT.search(segment) and _NEED.search(segment) and (n <= 7 or _PLACE.search(segment)):
-        return "script notice", False
     about = sum(w in _FAULT_SET for w in words) / n
-    if kinds & 4 and (n <= 7 or about >= 0.2) and _FAULT.search(segment):
-        return "error message", False
-    return None, n >= 3 and about >= 0.3
+    if n <= MOST_WORDS:
+        if kinds & 8 and _SCRIPT.search(segment) and _NEED.search(segment) and (n <= 7 or _PLACE.search(segment)):
+            return "script notice", False
+        if kinds & 4 and (n <= 7 or about >= 0.2) and _FAULT.search(segment):
+            return "error message", False
+    return None, n >= 3 and about >= ABOUT
+
+
+def _tabular(segment: str, words: list[str]) -> bool:
+    """A table row, or a segment that is mostly numbers."""
+    return segment.startswith("|") or 2 * sum(w.isdigit() for w in words) > len(words)
+
+
+def _mask(segment: str) -> int:
+    """64 bits of a segment without its numbers and case."""
+    return int.from_bytes(hashlib.blake2b(MASK.sub("0", segment.lower()).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+
+_SEGMENT = pa.struct([("mask", pa.int64()), ("seed", pa.bool_()), ("weak", pa.bool_()), ("apart", pa.bool_())])
+_SEEN = pa.schema([("id", pa.string()), ("ver", pa.string()), ("host", pa.string()), ("reasons", pa.list_(pa.string())), ("segments", pa.list_(_SEGMENT))])
+_SEEN_DDL = "id string, ver string, host string, reasons array<string>, segments array<struct<mask:long,seed:boolean,weak:boolean,apart:boolean>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.string()), ("ver", pa.string()), ("reason", pa.string()), ("host", pa.string()), ("masked", pa.string())])
+    """Per record what the detectors say, and its masked segments with what host evidence needs."""
     for batch in batches:
         out: list[tuple] = []
         for key, ver, title, text in zip(*(c.to_pylist() for c in batch.columns)):
             segments = [x.strip() for x in SEGMENT.split(text)]
             segments = [x for x in segments if x]
-            distinct = dict.fromkeys(segments)
-            unwrapped = WRAPPED.sub(" ", HYPHENATED.sub("", text))
-            if unwrapped != text:  # sentences that extraction broke over lines are judged whole as well
-                distinct |= dict.fromkeys(x.strip() for x in SEGMENT.split(unwrapped) if x.strip())
+            words = {x: WORD.findall(x.lower()) for x in segments}
+            content = {x: {w for w in found if len(w) > 3} for x, found in words.items()}
+            host, _, path = key.partition(":")
+            terms = set(WORD.findall(f"{path.partition('#')[0]} {title or ''}".lower()))
+            body = Counter(w for found in content.values() for w in found)
             reasons: set[str] = set()
-            weak: list[str] = []
-            for segment in distinct:
-                reason, maybe = judge(segment)
+            rows = []
+            for segment, found in words.items():
+                reason, weak = judge(segment, found)
                 if reason:
                     reasons.add(reason)
-                elif maybe:
-                    weak.append(segment)
-            if len(segments) >= 3 and len(set(segments)) < 0.5 * len(segments) and not any(TABULAR.search(x) for x in segments):
+                own = content[segment]
+                rows.append({"mask": _mask(segment), "seed": reason is not None, "weak": weak, "apart": terms.isdisjoint(own) and all(body[w] == 1 for w in own)})
+            unwrapped = WRAPPED.sub(" ", HYPHENATED.sub("", text))
+            if unwrapped != text:  # sentences that extraction broke over lines are judged whole as well
+                for x in dict.fromkeys(SEGMENT.split(unwrapped)):
+                    if x.strip() and x.strip() not in words:
+                        reason, _ = judge(x.strip())
+                        if reason:
+                            reasons.add(reason)
+            if len(segments) >= 3 and 2 * len(words) < len(segments) and not any(_tabular(x, found) for x, found in words.items()):
                 reasons.add("repetition")
-            host, _, path = key.partition(":")
-            out += [(key, ver, reason, None, None) for reason in reasons]
-            if weak and not reasons:
-                terms = set(WORD.findall(f"{path.partition('#')[0]} {title or ''}".lower()))
-                out += [(key, ver, None, host, MASK.sub("0", x)) for x in weak if not terms & {w for w in WORD.findall(x.lower()) if len(w) > 3}]
+            out.append((key, ver, host, sorted(reasons), rows))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEEN)], schema=_SEEN)
+
+
+def table_rows(df: DataFrame, id_col: str, text_col: str = "text", title_col: str | None = None, kind: str = "record", version_col: str | None = "loaded_at") -> tuple[str, DataFrame]:
+    """(kind, the columns that the scan reads) of a table of records."""
+    title = F.col(title_col) if title_col else F.lit(None)
+    ver = F.col(version_col).cast("string") if version_col else F.lit("")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(ver, F.lit("")).alias("ver"), title.cast("string").alias("title"), F.col(text_col).alias("text"))
+    return kind, rows.where(F.col("id").isNotNull())
+
+
+def segment_hosts(seen: DataFrame) -> DataFrame:
+    """``(mask, hosts, apart, weak)`` of every masked segment: documents that hold it, and those of them whose record shares no term with it.
+
+    A segment that a third of all records hold reaches the shuffle once per host and task.
+    """
+    parts = seen.select("host", F.explode("segments").alias("s")).select("host", "s.*")
+    by_host = parts.groupBy("mask", "host").agg(F.max("apart").alias("apart"), F.max("weak").alias("weak"))
+    return by_host.groupBy("mask").agg(F.count(F.lit(1)).alias("hosts"), F.count_if("apart").alias("apart"), F.max("weak").alias("weak"))
+
+
+def host_evidence(seen: DataFrame) -> DataFrame:
+    """``(kind, id, ver, mask)`` of the records whose segments are responses of several hosts; see the module's text, 2."""
+    spread = segment_hosts(seen).where((F.col("hosts") >= HOSTS) & (F.col("apart") >= APART * F.col("hosts")))
+    spread = materialize(spread.select("mask", "hosts", "weak"), "residue-spread")
+    record = F.xxhash64("kind", "id", "ver").alias("record")
+    parts = seen.select(record, "host", F.explode("segments").alias("s")).select("record", "host", "s.mask", "s.seed")
+    held = materialize(parts.join(spread, "mask").select("record", "host", "mask", "seed", "weak", "hosts"), "residue-held")
+    # records known to hold residue, and segments that joined; each round looks only at the holders of what joined last
+    known = materialize(seen.where(F.size("reasons") > 0).select(record).distinct(), "residue-known")
+    joined = materialize(held.where("weak AND NOT seed").select("mask").distinct(), "residue-joined")
+    everything = joined
+    while True:
+        fresh = materialize(held.join(joined, "mask", "left_semi").select("record").distinct().join(known, "record", "left_anti"), "residue-fresh")
+        known = materialize(known.unionByName(fresh), "residue-known")
+        beside = held.where("NOT seed").join(known, "record", "left_semi").groupBy("mask", "host").agg(F.max("hosts").alias("hosts")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.max("hosts").alias("hosts"))
+        more = beside.where((F.col("n") >= HOSTS) & (F.col("n") >= BESIDE * F.col("hosts"))).select("mask").join(everything, "mask", "left_anti")
+        joined = materialize(more, "residue-joined")
+        if joined.isEmpty():
+            break
+        everything = materialize(everything.unionByName(joined), "residue-masks")
+    exploded = seen.select("kind", "id", "ver", F.explode("segments.mask").alias("mask"))
+    return exploded.join(everything, "mask", "left_semi")
 
 
 def find_residue(df: DataFrame, id_col: str, text_col: str = "text", title_col: str | None = None, kind: str = "record", version_col: str | None = "loaded_at") -> DataFrame:
@@ -236,22 +303,30 @@ def find_residue(df: DataFrame, id_col: str, text_col: str = "text", title_col:
     ids, and null or empty texts, are no case. Whole texts are read. Of a re-delivered id only the rows of the latest
     version count (of rows of equal version any). An empty table gives an empty result; other columns are ignored.
     """
-    title = F.col(title_col) if title_col else F.lit(None)
-    ver = F.col(version_col).cast("string") if version_col else F.lit("")
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(ver, F.lit("")).alias("ver"), title.cast("string").alias("title"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("id").isNotNull())
-    # read twice below: the scan's few rows are written, not the texts scanned again
-    seen = materialize(rows.where(F.col("text") != "").mapInArrow(_scan, "id string, ver string, reason string, host string, masked string"), "residue")
-    # distinct documents per masked segment; the segments are few, and a segment of a third of them is counted map-side first
-    weak = seen.where(F.col("masked").isNotNull()).withColumn("m", F.xxhash64("masked"))
-    spread = weak.select("m", "host").distinct().groupBy("m").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS).select("m")
-    repeated = weak.join(spread, "m", "left_semi").select("id", "ver", F.lit("repeated on many hosts").alias("reason"))
-    found = seen.where(F.col("reason").isNotNull()).select("id", "ver", "reason").unionByName(repeated)
-    found = found.groupBy("id", "ver").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-    newest = rows.groupBy("id").agg(F.max("ver").alias("ver"))
-    return found.join(newest, ["id", "ver"], "left_semi").select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "reasons")
+    return _residue([table_rows(df, id_col, text_col, title_col, kind, version_col)])
+
+
+def scan(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    """What the scan says of every record, written once: ``kind, id, ver, host, reasons, segments``."""
+    seen = None
+    for kind, rows in tables:
+        part = rows.where(F.col("text") != "").mapInArrow(_scan, _SEEN_DDL).withColumn("kind", F.lit(kind))
+        seen = part if seen is None else seen.unionByName(part)
+    return materialize(seen, "residue")
+
+
+def _residue(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    seen = scan(tables)
+    found = seen.where(F.size("reasons") > 0).select("kind", "id", "ver", F.explode("reasons").alias("reason"))
+    found = found.unionByName(host_evidence(seen).select("kind", "id", "ver", F.lit("repeated on several hosts").alias("reason")))
+    found = found.groupBy("kind", "id", "ver").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    newest = None
+    for kind, rows in tables:
+        last = rows.groupBy("id").agg(F.max("ver").alias("ver")).withColumn("kind", F.lit(kind))
+        newest = last if newest is None else newest.unionByName(last)
+    return found.join(newest, ["kind", "id", "ver"], "left_semi").select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "reasons")
 
 
 def residue_records(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """The residue of both record kinds."""
-    return find_residue(chunks, "chunk_id", kind="chunk").unionByName(find_residue(sections, "section_id", title_col="title", kind="section"))
+    """The residue of both record kinds; their host evidence is counted together."""
+    return _residue([table_rows(chunks, "chunk_id", kind="chunk"), table_rows(sections, "section_id", title_col="title", kind="section")])

@@ -46,15 +46,38 @@ def test_anywhere_latest_and_odd_rows(spark):
 
 
 def test_host_evidence_needs_several_documents(spark):
-    text = "Reading room session request, page 12."
+    text = "Download session request, page 12."
     many = rows(spark, [(f"h{i}:slug#0:c0", text, 0) for i in range(4)])
     few = rows(spark, [(f"h1:slug#{i}:c0", text, 0) for i in range(4)])
-    named = rows(spark, [(f"h{i}:reading-room#0:c0", text, 0) for i in range(4)])
+    named = rows(spark, [(f"h{i}:download-session#0:c0", text, 0) for i in range(4)])
     assert find_residue(many, "chunk_id").count() == 4
     assert find_residue(few, "chunk_id").count() == 0
     assert find_residue(named, "chunk_id").count() == 0
 
 
+def test_host_evidence_follows_footers_to_messages_of_any_wording(spark):
+    footer, prose = "Go up | Imprint", "The council met in June and agreed on the plan for the canals."
+    known = [(f"h{i}:slug#0:c0", f"502 Bad Gateway\n{footer}", 0) for i in range(4)]
+    unknown = [(f"k{i}:slug#0:c0", f"Bah, no luck today.\n{footer}", 0) for i in range(3)]
+    alone = [(f"m{i}:slug#0:c0", "Bah, no luck today.", 0) for i in range(3)]
+    clean = [(f"p{i}:slug#0:c0", prose, 0) for i in range(9)] + [("q:slug#0:c0", f"{prose}\nChoose an item.", 0)]
+    got = {r.record_id: r.reasons for r in find_residue(rows(spark, known + unknown + alone + clean), "chunk_id").collect()}
+    assert {i[0] for i in got} == {"h", "k", "m", "q"} and len(got) == 11
+    assert got["k0:slug#0:c0"] == ["repeated on several hosts"] == got["m2:slug#0:c0"]
+
+
+def test_segment_hosts_count_documents(spark):
+    df = rows(spark, [("a:s#0", "Water 12 rises.\nWater 13 rises.", 0), ("a:s#1", "Water 1 rises.", 0), ("b:s#0", "Water 9 rises.", 0), ("c:rises#0", "Water 9 rises.", 0)])
+    seen = residue.scan([residue.table_rows(df, "chunk_id", version_col=None)])
+    assert [(r.hosts, r.apart) for r in residue.segment_hosts(seen).collect()] == [(3, 2)]
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_low_information_at_any_length(n):
+    assert judge(" ".join(["water pumps and", "pumps of water"][i % 2] for i in range(n)))[0] == "filler"
+    assert judge(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)))[0] is None
+
+
 def test_empty(spark):
     c = rows(spark, [])
     s = c.withColumnRenamed("chunk_id", "section_id")
@@ -69,17 +92,18 @@ MISSED = [
 
 def scanned(text):
     batch = pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in ("h:a#0", "", None, text)], ["id", "ver", "title", "text"])
-    return [row for out in residue._scan(iter([batch])) for row in out.to_pylist()]
+    return [row for out in residue._scan(iter([batch])) for row in out.to_pylist()][0]
 
 
 @pytest.mark.parametrize("text", CASES + MISSED)
 def test_scan_passes_over_no_segment_that_judge_flags(text):
     prose = "The council of the hill district met in June and agreed on the plan for the canals."
-    assert judge(text)[0] and judge(text)[0] in {r["reason"] for r in scanned(f"{prose}\n{text}\n{prose}")}
+    assert judge(text)[0] and judge(text)[0] in scanned(f"{prose}\n{text}\n{prose}")["reasons"]
 
 
 def test_scan_keeps_weak_segments():
-    assert judge("Please try again in a moment.") == (None, True) and [r["masked"] for r in scanned("Please try again in a moment.")] == ["Please try again in a moment."]
+    assert judge("Please try again in a moment, the page is loading.") == (None, True)
+    assert [x["weak"] for x in scanned("Please try again in a moment, the page is loading.")["segments"]] == [True]
 
 
 def draw(items, rng):
