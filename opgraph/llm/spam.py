@@ -1,12 +1,13 @@
 """Problem 8 - keyword-stuffed and link-list pages, by perplexity under a prose-trained n-gram model.
 
-1. Every line and sentence becomes a sequence of function words (kept as they are) and word classes
-   (case, ending, digits, links, tags, separators).
+1. Every line and sentence becomes, once, a sequence of numbers: function words (kept as they are) and word classes
+   (case, ending, digits, links, tags, separators). The sequences are written; all that follows reads them, not the texts.
 2. Class trigrams of prose-like sentences are counted over all documents. The alphabet of classes is fixed,
    so the table of counts has a bound that does not grow with the data; it is the model.
-3. A segment whose sequence is abnormally improbable (lists, menus, tags), or whose content words are
-   abnormally predictable from the same document (repeated keywords, within the segment or across segments), is
-   not prose. The threshold comes from the distribution over all prose-like sentences.
+3. The model has a document part: content words are predicted from the rest of the same document (a cache of its words, with
+   absolute discounting). A segment is not prose if its class sequence is abnormally improbable (lists, menus, tags:
+   perplexity too high) or if its content words are abnormally predictable (repeated keywords and phrases, within a
+   segment or across segments: perplexity too low). Both limits come from the distribution over all prose-like sentences.
 4. A document is flagged if such segments hold most of its words. Table rows, abbreviation lists and numbered
    references are set aside and count neither way.
 """
@@ -15,11 +16,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import count
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ FUNCTION_WORDS = frozenset((
 ENDINGS = ("tion", "ment", "ing", "ness", "ción", "ção", "eur", "ous", "ive", "ate", "ise", "ize", "ed", "er", "ly", "al", "ar", "ir", "es", "s", "e", "a", "o")
 SEPARATORS = frozenset("|·•»›>/;,-–—")
 # ----------------------------------------------------------------------------------------------------
-TOKEN = re.compile(r"(?P<url>https?://\S+|www\.\S+|\]\([^)\s]*\))|(?P<tag>#\w+)|(?P<word>[^\W\d_]+)|(?P<num>\d+(?:[.,]\d+)*\w*)|(?P<sep>[|·•»›>/;,–—-])|(?P<end>[.!?…:])|(?P<other>\S)")
+TOKEN = re.compile(r"https?://\S+|www\.\S+|\]\([^)\s]*\)|#\w+|[^\W\d_]+|\d+(?:[.,]\d+)*\w*|\S")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 NUMBERED = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 #: Sentences that extraction broke over lines.
@@ -50,46 +51,63 @@ ACRONYM = re.compile(r"^\s*([A-Z][A-Z0-9]{1,9})\s*(?:[:–—-]\s*|\s)(.+)$")
 LEAST_WORDS = 5
 #: Share of function words from which a sentence counts as prose-like for training.
 PROSE_SHARE = 0.15
-#: How far above the prose median, in median deviations, a segment's log-perplexity is abnormal.
-DEVIATIONS = 8.0
+#: How far above the prose median, in median deviations, a segment's log-perplexity is abnormally high; how far below the median its predictability, on a log scale, is abnormally low.
+HIGH, LOW = 8.0, 5.0
 #: Words of the segments that are flagged, of all scored words, from which a document is flagged.
 MOST = 0.5
-#: Times that a pair of content words stands in a document from which it is a repeated phrase, and the share of such pairs in a segment from which it is predictable.
-RECURS, RECURRING = 5, 0.8
-START, STOP = "<s>", "</s>"
-
-
-@lru_cache(maxsize=200_000)
-def word_class(text: str) -> tuple[str, str | None]:
-    """(class, content word or None) of a word as it stands."""
-    low = text.lower()
-    if low in FUNCTION_WORDS and not (text.isupper() and len(text) > 1):
-        return low, None
-    ending = next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), "")
-    return ("U" if text.isupper() and len(text) > 1 else "C" if text[0].isupper() else "w") + "~" + ending, low
-
-
-def classes(segment: str) -> tuple[list[str], list[str], int]:
-    """(classes, content words, function words) of a segment."""
-    out, content, function = [], [], 0
-    for m in TOKEN.finditer(segment):
-        kind, text = m.lastgroup, m.group()
-        if kind == "word":
-            kind_of, word = word_class(text)
-            out.append(kind_of)
-            if word is None:
-                function += 1
-            else:
-                content.append(word)
-        elif kind == "sep":
-            out.append(text)
-        elif kind == "end":
-            out.append(text if text in ".?!:" else ".")
-        else:
-            out.append({"url": "<url>", "tag": "<tag>", "num": "<n>", "other": "<x>"}[kind])
-            if kind == "tag":
-                content.append(text.lower())
-    return out, content, function
+#: Least content words of a segment whose predictability from its document is judged.
+LEAST_CONTENT = 3
+#: Weights of the document's words and of the uniform part in the prediction, and the vocabulary of the latter.
+WORDS, UNIFORM, VOCABULARY = 0.8, 0.2, 20_000
+#: Taken off every count of the document: what stands once more elsewhere in it does not yet make a word predictable.
+DISCOUNT = 1
+#: Lower limit where a table has no prose.
+LOWEST = 5.0
+START, STOP, URL, TAG, NUMBER, OTHER = "<s>", "</s>", "<url>", "<tag>", "<n>", "<x>"
+ENDS = ".?!:"
+CLASSES = [START, *sorted(FUNCTION_WORDS), STOP, URL, TAG, NUMBER, OTHER, *ENDS, *sorted(SEPARATORS), *(f"{case}~{e}" for case in "wCU" for e in ("", *ENDINGS))]
+CODE = {c: i for i, c in enumerate(CLASSES)}
+K = len(CLASSES)
+#: Codes up to this one are function words.
+FUNCTION = len(FUNCTION_WORDS)
+
+
+def class_of(token: str) -> tuple[int, str | None]:
+    """(class, content word or None) of a token as it stands."""
+    if token.isalpha():
+        low = token.lower()
+        shout = token.isupper() and len(token) > 1
+        if low in FUNCTION_WORDS and not shout:
+            return CODE[low], None
+        ending = next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), "")
+        return CODE[("U" if shout else "C" if token[0].isupper() else "w") + "~" + ending], low
+    if len(token) > 1 and token[0] == "#":
+        return CODE[TAG], token.lower()
+    if token.startswith(("http://", "https://", "www.", "](")):
+        return CODE[URL], None
+    if token[0].isdigit():
+        return CODE[NUMBER], None
+    if token in SEPARATORS or token in ENDS:
+        return CODE[token], None
+    return CODE["." if token == "…" else OTHER], None
+
+
+class _Known(dict):
+    """Classes of the tokens met so far; past a bound they are worked out anew."""
+
+    def __missing__(self, token: str) -> tuple[int, str | None]:
+        found = class_of(token)
+        if len(self) < 200_000:
+            self[token] = found
+        return found
+
+
+def classes(segment: str, known: dict | None = None) -> tuple[list[int], list[str], int]:
+    """(class codes, content words, function words) of a segment."""
+    look = class_of if known is None else known.__getitem__
+    found = [look(t) for t in TOKEN.findall(segment)]
+    codes = [c for c, _ in found]
+    return codes, [w for _, w in found if w is not None], sum(0 < c <= FUNCTION for c in codes)
 
 
 def segments(text: str) -> list[tuple[str, str]]:
@@ -149,145 +167,157 @@ def _expands(acronym: str, expansion: str) -> bool:
     return sum(c in initials for c in letters) >= max(2, 0.6 * len(letters))
 
 
-def _grams(tokens: list[str]):
-    padded = [START, START, *tokens, STOP]
-    return zip(padded, padded[1:], padded[2:])
-
+def predictability(parts: list[list[str]]) -> list[float]:
+    """Per segment the mean surprise of its content words, predicted from the rest of the document; NaN for too few words.
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for kind, part in dict.fromkeys(segments(text)):  # a repeated line teaches once a document
-                if kind == "aside":
-                    continue
-                tokens, content, function = classes(part)
-                words = len(content) + function
-                if words >= LEAST_WORDS and function >= PROSE_SHARE * words and len(set(content)) > 0.6 * len(content) and tokens[-1] in ".?!":
-                    counts.update("\t".join(g) for g in _grams(tokens))
-        if len(counts) > 200_000:
-            yield _as_batch(counts)
-            counts = Counter()
-    if counts:
-        yield _as_batch(counts)
+    Each word counts without its own occurrence, so a word that stands once or twice is predicted by the uniform part only.
+    """
+    number = defaultdict(count().__next__)
+    words = np.fromiter((number[w] for part in parts for w in part), dtype=np.int64)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    out = np.full(len(parts), np.nan)
+    if not len(words):
+        return out.tolist()
+    others = np.bincount(words)[words] - 1
+    p = WORDS * np.maximum(others - DISCOUNT, 0) / max(len(words) - 1, 1) + UNIFORM / VOCABULARY
+    total = np.concatenate(([0.0], np.cumsum(-np.log(p))))
+    end = np.cumsum(sizes)
+    enough = sizes >= LEAST_CONTENT
+    out[enough] = (total[end] - total[end - sizes])[enough] / sizes[enough]
+    return out.tolist()
 
 
-def _as_batch(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+_TOKENS = pa.schema([("id", pa.int64()), ("codes", pa.list_(pa.int16())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("prose", pa.list_(pa.bool_())), ("teaches", pa.list_(pa.bool_())), ("own", pa.list_(pa.float64()))])
+_TOKENS_DDL = "id long, codes array<short>, sizes array<int>, words array<int>, prose array<boolean>, teaches array<boolean>, own array<double>"
 
 
-class Model:
-    """Interpolated class trigrams; unseen ones fall back to bigrams, single classes and a uniform floor."""
+def sequences(text: str, known: dict | None = None) -> tuple[list[int], list[int], list[int], list[bool], list[bool], list[float]]:
+    """(codes, sizes, words, prose, teaches, own) of the scored segments of a document; codes run on, each segment between two starts and a stop.
 
-    def __init__(self, grams: dict[str, int]):
-        self.tri: Counter = Counter()
-        self.bi: Counter = Counter()
-        self.uni: Counter = Counter()
-        self.ctx: Counter = Counter()
-        self.bictx: Counter = Counter()
-        for gram, n in grams.items():
-            a, b, c = gram.split("\t")
-            self.tri[a, b, c] += n
-            self.ctx[a, b] += n
-            self.bi[b, c] += n
-            self.bictx[b] += n
-            self.uni[c] += n
-        self.total = max(1, sum(self.uni.values()))
-        self.kinds = len(self.uni) + 1
-        self.known: dict[tuple[str, str, str], float] = {}
-
-    def surprise(self, tokens: list[str]) -> float:
-        """Mean negative log probability per class: the log of the perplexity."""
-        total = 0.0
-        for gram in _grams(tokens):
-            cost = self.known.get(gram)
-            if cost is None:
-                cost = self.known[gram] = self._cost(*gram)  # classes are few, so the table stays small
-            total += cost
-        return total / (len(tokens) + 1)
-
-    def _cost(self, a: str, b: str, c: str) -> float:
-        p = 0.05 / self.kinds + 0.1 * self.uni[c] / self.total
-        p += 0.35 * self.bi[b, c] / self.bictx[b] if self.bictx[b] else 0
-        p += 0.5 * self.tri[a, b, c] / self.ctx[a, b] if self.ctx[a, b] else 0
-        return -math.log(p)
+    ``prose`` marks the sentences that set the limits, ``teaches`` those that the trigrams are counted in: a repeated line teaches once a document.
+    """
+    codes, sizes, words, prose, teaches, contents = [], [], [], [], [], []
+    seen: set[str] = set()
+    for kind, part in segments(text):
+        if kind == "aside":
+            continue
+        own, content, function = classes(part, known)
+        n = len(content) + function
+        size = n + own.count(CODE[URL]) + own.count(CODE[NUMBER])
+        if not size:
+            continue
+        sentence = n >= LEAST_WORDS and function >= PROSE_SHARE * n and CLASSES[own[-1]] in ".?!"
+        codes += [0, 0, *own, CODE[STOP]]
+        sizes.append(len(own) + 3)
+        words.append(size)
+        prose.append(sentence)
+        teaches.append(sentence and part not in seen and len(set(content)) > 0.6 * len(content))
+        contents.append(content)
+        seen.add(part)
+    return codes, sizes, words, prose, teaches, predictability(contents)
+
+
+def _sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known()
+    for batch in batches:
+        rows = [sequences(text, known) for text in batch.column(1).to_pylist()]
+        columns = zip(*rows) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, list(_TOKENS)[1:]))], schema=_TOKENS)
 
 
-_SCORED = "id long, parts array<struct<surprise:double,words:int,stuffed:boolean,prose:boolean>>"
+def trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all trigrams that do not end in a start, places of their last elements)."""
+    wide = codes.astype(np.int64)
+    at = np.flatnonzero(wide[2:] != 0) + 2
+    return (wide[at - 2] * K + wide[at - 1]) * K + wide[at], at
 
 
-def _measure(model: Model):
-    """Surprise, words and repetition of every segment of every document."""
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "parts": [weigh(text, model) for text in pdf["text"]]})
 
-    return run
-
-
-def weigh(text: str, model: Model) -> list[dict]:
-    """The scored segments of a document; ``prose`` marks the sentences that set the threshold."""
-    parts = [classes(part) for kind, part in segments(text) if kind == "text"]
-    everything = Counter(w for _, content, _ in parts for w in content)
-    pairs = Counter(p for _, content, _ in parts for p in zip(content, content[1:]))
-    out = []
-    for tokens, content, function in parts:
-        words = len(content) + function
-        size = words + tokens.count("<url>") + tokens.count("<n>")
-        if size:
-            prose = words >= LEAST_WORDS and function >= PROSE_SHARE * words and tokens[-1] in ".?!"
-            out.append({"surprise": model.surprise(tokens), "words": size, "stuffed": _stuffed(content, function, everything) or _recurring(content, pairs), "prose": prose})
-    return out
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams, at = trigrams(_flat(batch, "codes"))
+        taught = np.repeat(_flat(batch, "teaches").astype(bool), _flat(batch, "sizes"))[at]
+        values, counts = np.unique(grams[taught], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
-def _stuffed(content: list[str], function: int, everything: Counter[str]) -> bool:
-    """Abnormally predictable: the content words of the segment come from a few that the document keeps repeating.
+class Model:
+    """Interpolated class trigrams; unseen ones fall back to bigrams, single classes and a uniform floor."""
 
-    The perplexity of the segment's content words among themselves, against the number of them.
-    """
-    n = len(content)
-    if n < 4:
-        return False
-    counts = Counter(content)
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values())
-    return math.exp(entropy) <= 0.5 * n + 0.5 and max(counts.values()) >= 2 and sum(everything[w] for w in counts) / len(counts) >= 4
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.tri = grams[order], n[order].astype(np.float64)
+        a, b, c = self.grams // (K * K), self.grams // K % K, self.grams % K
+        self.uni, self.ctx, self.bi, self.after = np.zeros(K), np.zeros(K * K), np.zeros(K * K), np.zeros(K)
+        np.add.at(self.uni, c, self.tri)
+        np.add.at(self.ctx, a * K + b, self.tri)
+        np.add.at(self.bi, b * K + c, self.tri)
+        np.add.at(self.after, b, self.tri)
+        self.total, self.kinds = max(1.0, self.tri.sum()), np.count_nonzero(self.uni) + 1
+
+    def surprise(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Mean negative log probability per class of every segment: the log of its perplexity."""
+        grams, at = trigrams(codes)
+        b, c = grams // K % K, grams % K
+        place = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        tri = np.where(self.grams[place] == grams, self.tri[place], 0.0) if len(self.grams) else np.zeros(len(grams))
+        p = 0.05 / self.kinds + 0.1 * self.uni[c] / self.total
+        p += 0.35 * self.bi[b * K + c] / np.maximum(self.after[b], 1) + 0.5 * tri / np.maximum(self.ctx[grams // K], 1)
+        cost = np.zeros(len(codes) + 1)
+        cost[at + 1] = -np.log(p)
+        total, end = np.cumsum(cost), np.cumsum(sizes)
+        return (total[end] - total[end - sizes]) / (sizes - 2)
 
 
-def _recurring(content: list[str], pairs: Counter[tuple[str, str]]) -> bool:
-    """Abnormally predictable from the whole document: nearly all steps from word to word recur in it.
+def _measure(model: Model):
+    """Log-perplexity of every segment of every document."""
+    parts = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = _flat(batch, "sizes").astype(np.int64)
+            surprise = model.surprise(_flat(batch, "codes"), sizes) if len(sizes) else np.zeros(0)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in batch.column(batch.schema.get_field_index("sizes"))])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(surprise)).cast(parts)
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "words", "prose", "own")]
+            yield pa.RecordBatch.from_arrays([*keep, lists], ["id", "words", "prose", "own", "surprise"])
 
-    The perplexity of the segment under the document's own word pairs is low, however the segment reads by itself.
-    """
-    steps = list(zip(content, content[1:]))
-    return len(steps) >= 2 and sum(pairs[s] >= RECURS for s in steps) >= RECURRING * len(steps)
+    return run
 
 
-def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", deviations: float = DEVIATIONS) -> DataFrame:
+def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", high: float = HIGH, low: float = LOW) -> DataFrame:
     """``(id, flagged, scored, surprise, is_spam)`` of every document with text, from whole texts.
 
     Null and empty texts, and texts without words, are never spam; null ids are dropped; repeated ids are scored
-    row by row. Counts and the threshold come from all documents; with no prose at all the threshold is that
-    of a uniform model, and only repetition flags. Other columns are ignored.
+    row by row. Counts and the limits come from all documents; with no prose at all there is no upper limit and the lower
+    one is that of a document of unrelated words. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.col("text") != "") & F.col("id").isNotNull())
-    texts = rows.select("text")
-    grams = texts.mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = Model({r.gram: r.n for r in grams.collect()})  # at most (classes of the fixed alphabet) ** 3 rows
-    # one scoring pass; its few numbers a segment are written, and both the threshold and the verdict read them
-    scored = materialize(rows.mapInPandas(_measure(model), _SCORED), "spam-scored")
-    prose = scored.select(F.explode(F.filter("parts", lambda p: p["prose"])).alias("p")).select(F.least(F.lit(1999), F.floor(F.col("p.surprise") * 100)).cast("int").alias("bin"))
-    bins = prose.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2,000 rows
-    high = threshold({r.bin / 100: r.n for r in bins}, deviations)
+    tokens = materialize(rows.mapInArrow(_sequence, _TOKENS_DDL), "spam-tokens")
+    grams = tokens.select("codes", "sizes", "teaches").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most K ** 3 rows of the fixed alphabet
+    model = Model(grams.column("gram").to_numpy(), grams.column("n").to_numpy())
+    # few numbers a segment are written, and both the limits and the verdict read them
+    scored = materialize(tokens.select("id", "codes", "sizes", "words", "prose", "own").mapInArrow(_measure(model), "id long, words array<int>, prose array<boolean>, own array<double>, surprise array<double>"), "spam-scored")
+    parts = scored.select("id", F.arrays_zip("words", "prose", "own", "surprise").alias("parts"))
+    prose = parts.select(F.explode(F.filter("parts", lambda p: p["prose"])).alias("p"))
+    at = lambda c: F.least(F.lit(1999), F.floor(c * 100)).cast("int")
+    both = prose.select(F.lit(True).alias("high"), at(F.col("p.surprise")).alias("bin")).unionByName(prose.where(~F.isnan("p.own")).select(F.lit(False).alias("high"), at(F.log("p.own")).alias("bin")))
+    bins = both.groupBy("high", "bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4,000 rows
+    upper = threshold({r.bin / 100: r.n for r in bins if r.high}, high, math.inf)
+    lower = math.exp(threshold({r.bin / 100: r.n for r in bins if not r.high}, -low, math.log(LOWEST)))
     total = lambda parts: F.aggregate(parts, F.lit(0), lambda s, p: s + p["words"])
-    flagged, words = total(F.filter("parts", lambda p: p["stuffed"] | (p["surprise"] > high))), total(F.col("parts"))
+    odd = lambda p: (p["surprise"] > upper) | (~F.isnan(p["own"]) & (p["own"] < lower))
+    flagged, words = total(F.filter("parts", odd)), total(F.col("parts"))
     mean = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["surprise"] * p["words"])
-    out = scored.select("id", flagged.cast("long").alias("flagged"), words.cast("long").alias("scored"), F.when(words > 0, mean / words).otherwise(0.0).alias("surprise"))
+    out = parts.select("id", flagged.cast("long").alias("flagged"), words.cast("long").alias("scored"), F.when(words > 0, mean / words).otherwise(0.0).alias("surprise"))
     return out.withColumn("is_spam", (F.col("scored") > 0) & (F.col("flagged") >= MOST * F.col("scored")))
 
 
-def threshold(histogram: dict[float, int], deviations: float) -> float:
-    """Median plus ``deviations`` median absolute deviations of a histogram; infinite if it is empty."""
+def threshold(histogram: dict[float, int], deviations: float, without: float) -> float:
+    """Median plus ``deviations`` median absolute deviations of a histogram; ``without`` if it is empty."""
 
     def median(weights: dict[float, int]) -> float:
         half, seen = sum(weights.values()) / 2, 0
@@ -298,7 +328,7 @@ def threshold(histogram: dict[float, int], deviations: float) -> float:
         return 0.0
 
     if not histogram:
-        return math.inf
+        return without
     middle = median(histogram)
     spread: Counter[float] = Counter()
     for value, n in histogram.items():

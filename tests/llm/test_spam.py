@@ -1,4 +1,10 @@
-from opgraph.llm.spam import classes, score_pages, segments, spam_pages
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from opgraph.llm.spam import CLASSES, CODE, STOP, UNIFORM, VOCABULARY, WORDS, Model, classes, predictability, score_pages, segments, spam_pages, trigrams
 
 PROSE = [
     "The water board will inspect the pumps in the hill districts before the rains begin.", "A review of the fund in 2021 found that the costs of the scheme were met by the ministry.", "Households in the coastal strip depend on the market, and the council plans to map them.",
@@ -37,10 +43,45 @@ def test_empty_and_without_prose(spark):
 
 def test_segments_and_classes():
     assert {k for k, _ in segments(PLAIN[0])} == {"aside"} and {k for k, _ in segments(PLAIN[1])} == {"aside"}
-    tokens, content, function = classes("The pump #tag https://x.example 12.5 is new.")
+    codes, content, function = classes("The pump #tag https://x.example 12.5 is new.")
+    tokens = [CLASSES[c] for c in codes]
     assert tokens[0] == "the" and "<url>" in tokens and "<tag>" in tokens and "<n>" in tokens and tokens[-1] == "." and function == 2 and "pump" in content
 
 
+def test_model_equals_a_plain_sum():
+    rng = np.random.default_rng(1)
+    taught = [[0, 0, *rng.integers(1, 9, 6).tolist(), CODE[STOP]] for _ in range(40)]
+    grams, _ = trigrams(np.array(sum(taught, []), dtype=np.int16))
+    model = Model(*np.unique(grams, return_counts=True))
+    tri, bi, uni = Counter(), Counter(), Counter()
+    for s in taught:
+        for a, b, c in zip(s, s[1:], s[2:]):
+            tri[a, b, c] += 1
+            bi[b, c] += 1
+            uni[c] += 1
+    ctx, after = Counter(), Counter()
+    for (a, b, _), n in tri.items():
+        ctx[a, b] += n
+        after[b] += n
+
+    def plain(s):
+        cost = 0.0
+        for a, b, c in zip(s, s[1:], s[2:]):
+            p = 0.05 / (len(uni) + 1) + 0.1 * uni[c] / sum(uni.values()) + (0.35 * bi[b, c] / after[b] if after[b] else 0) + (0.5 * tri[a, b, c] / ctx[a, b] if ctx[a, b] else 0)
+            cost -= math.log(p)
+        return cost / (len(s) - 2)
+
+    asked = [*taught[:3], [0, 0, 20, CODE[STOP]], [0, 0, 3, 8, 1, 30, CODE[STOP]]]
+    got = model.surprise(np.array(sum(asked, []), dtype=np.int16), np.array([len(s) for s in asked]))
+    assert np.allclose(got, [plain(s) for s in asked])
+
+
+def test_predictability_leaves_each_word_out():
+    once, twice = predictability([["a", "b", "c"], ["d", "e"], ["f", "g", "h"]]), predictability([["a", "b", "c"]] * 5 + [[]])
+    assert once[0] == pytest.approx(math.log(VOCABULARY / UNIFORM)) and math.isnan(once[1])
+    assert twice[0] == pytest.approx(twice[1]) and twice[0] == pytest.approx(-math.log(WORDS * 3 / 14 + UNIFORM / VOCABULARY)) and math.isnan(twice[5]) and predictability([]) == []
+
+
 def test_phrases_repeated_across_segments(spark):
     once, several = "Cheap tractor loans in Quorania for farmers.", [f"Cheap tractor loans in Quorania for {x} farmers." for x in ("young", "hill", "dairy", "rice", "coastal", "new")]
     texts = [(i, t) for i, t in corpus() if i is not None and i < 100] + [(400, "\n".join([once] * 50)), (401, "\n".join(several * 4)), (402, once + " " + " ".join(PROSE))]
