@@ -1,15 +1,18 @@
 """Problem 5 - variant spellings of organization names, by canonical rewriting.
 
-Each name is rewritten to canonical forms (kind of body, proper part): case and accents folded, noise words and
-legal forms dropped, abbreviations, acronyms and translated words expanded, joined and misspelt kind
-words repaired, word order ignored. Ambiguous abbreviations give several forms; the corpus decides, as the form
-whose kind is written out most often is kept and rare rewritings lose. Equal forms meet in an equi-join;
-misspelt proper parts meet by equi-joining their single-character deletions. Forms point to the most frequent
-form they can be rewritten to, and pointers are followed to the root. No step compares all rows of a block.
+Each name is rewritten to every canonical form (kind of body, proper part) that it can stand for: case and accents folded,
+noise words and legal forms dropped, abbreviations, acronyms and translated words expanded, joined and misspelt kind
+words repaired, known nicknames (the alias table) replaced, word order ignored. The forms are exploded and equi-joined with the forms that
+other names write out. Of a name's forms the one is kept that is written out for the same place and country; among
+those, and without any, the least rare rewriting: the rarity of a reading is how seldom its kind is written out among the
+kinds that the same words may mean. Misspelt proper parts meet by equi-joining their single-character
+deletions, reordered ones by their sorted words. Forms point to the most frequent form they can be rewritten to, and pointers
+are followed to the root. No step compares all rows of a block.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -49,8 +52,8 @@ REWRITE = {
 LEXICON = frozenset(KIND_WORDS)
 #: Kinds written out with at least this many proper parts (by their first letters) are established; other names are bodies of their own.
 ESTABLISHED = 3
-#: Kinds kept for resolving ambiguous words, at most: the most frequent.
-MOST_KINDS = 5000
+#: Kinds and acronyms that are read on the driver, at most; they grow with the language of names, not with their number. More raise.
+MOST_KINDS = 200_000
 
 
 def fold(text: str | None) -> list[str]:
@@ -164,7 +167,8 @@ def _roles(tokens: list[str], repair: bool = True) -> dict:
         found = [(t,)] if t in LEXICON and not translated else kind_word(t) if repair or t in REWRITE or t in LEXICON else []
         repaired |= bool(found) and t not in REWRITE and t not in LEXICON
         if found:
-            readings = [a + b for a, b in product(readings, found)][:16]
+            # as sets of words, so that their number is bounded by the fixed table of ambiguous words
+            readings = list(dict.fromkeys(tuple(sorted(a + b)) for a, b in product(readings, found)))
             order.append(found[0] if len(found) == 1 else ())
         else:
             proper.append(t)
@@ -201,23 +205,34 @@ def _completed(kind: str, proper: list[str], established: list[tuple[str, frozen
     return (fits[0][0], proper) if len(fits) == 1 and len(have) >= 2 else (kind, proper)
 
 
+def rarity(options: list[str], kinds: dict[str, int]) -> dict[str, float]:
+    """How rare each reading of the same words is: minus the log of its share among the written-out kinds."""
+    total = sum(kinds.get(k, 0) + 1 for k in options)
+    return {k: -math.log((kinds.get(k, 0) + 1) / total) for k in options}
+
+
 def _resolve(kinds: dict[str, int], acronyms: dict[str, str]):
     """Canonical form of every parsed name: (kind, proper part), and whether that kind is established."""
     established = [(k, frozenset(k.split())) for k, n in kinds.items() if n >= ESTABLISHED]
 
+    def least_rare(options, supported: frozenset[str]) -> str:
+        rare = rarity(list(options), kinds)
+        return max(options, key=lambda k: (k in supported, -rare[k], k))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for n, c, proper, options, words, acronym, proper2, options2, proper3, options3 in zip(pdf.name_norm, pdf.country, pdf.proper, pdf.kinds, pdf.words, pdf.acronym, pdf.proper2, pdf.kinds2, pdf.proper3, pdf.kinds3):
-                proper, best = list(proper), max(options, key=lambda k: (kinds.get(k, 0), k))
-                if options2 is not None and len(proper2):
-                    wide = max(options2, key=lambda k: (kinds.get(k, 0), k))
-                    if kinds.get(wide, 0) >= max(ESTABLISHED, kinds.get(best, 0)):
+            for n, c, proper, options, words, acronym, proper2, options2, proper3, options3, s1, s2, s3 in zip(pdf.name_norm, pdf.country, pdf.proper, pdf.kinds, pdf.words, pdf.acronym, pdf.proper2, pdf.kinds2, pdf.proper3, pdf.kinds3, pdf.s1, pdf.s2, pdf.s3):
+                known, known2, known3 = (frozenset(x) if x is not None else frozenset() for x in (s1, s2, s3))
+                proper, best = list(proper), least_rare(options, known)
+                if options2 is not None and len(proper2) and best not in known:
+                    wide = least_rare(options2, known2)
+                    if wide in known2 or kinds.get(wide, 0) >= max(ESTABLISHED, kinds.get(best, 0)):
                         proper, best = list(proper2), wide
                 if options3 is not None and kinds.get(best, 0) < ESTABLISHED:
                     # a proper word that only resembles a kind word
-                    narrow = max(options3, key=lambda k: (kinds.get(k, 0), k))
-                    if kinds.get(narrow, 0) >= ESTABLISHED or (not narrow and any(t in acronyms for t in proper3)):
+                    narrow = least_rare(options3, known3)
+                    if narrow in known3 or kinds.get(narrow, 0) >= ESTABLISHED or (not narrow and any(t in acronyms for t in proper3)):
                         proper, best = list(proper3), narrow
                 if kinds.get(best, 0) < ESTABLISHED:
                     # an acronym in place of the kind, beside the proper part
@@ -229,14 +244,34 @@ def _resolve(kinds: dict[str, int], acronyms: dict[str, str]):
                         best, proper = _completed(best, proper, established)
                 elif len(proper) > 1:
                     # an acronym of the whole name that was typed without brackets
-                    kept = [t for t in proper if not (2 <= len(t) <= 7 and acronyms.get(t[-2:]) == best or any(t.endswith(a) and acronyms[a] == best and len(t) - len(a) <= 2 for a in acronyms if len(a) >= 2 and len(t) <= 7))]
-                    proper = kept or proper
-                out.append((n, c, best, "".join(proper), " ".join(words), acronym, kinds.get(best, 0) >= ESTABLISHED and bool(proper)))
-            yield pd.DataFrame(out, columns=["name_norm", "country", "kind", "place", "words", "acronym", "established"])
+                    proper = [t for t in proper if not _spells(t, best, acronyms)] or proper
+                out.append((n, c, best, "".join(proper), " ".join(sorted(proper)), " ".join(words), acronym, kinds.get(best, 0) >= ESTABLISHED and bool(proper)))
+            yield pd.DataFrame(out, columns=["name_norm", "country", "kind", "place", "sorted", "words", "acronym", "established"])
 
     return run
 
 
+def _spells(token: str, kind: str, acronyms: dict[str, str]) -> bool:
+    """A short token that ends in an acronym of the kind, after at most two letters of the proper part."""
+    return 2 <= len(token) <= 7 and any(acronyms.get(token[i:]) == kind for i in range(3) if len(token) - i >= 2)
+
+
+def _written_out(parsed: DataFrame, stats: DataFrame) -> DataFrame:
+    """``parsed`` with the kinds among its readings that other names write out for the same proper words and country (s1, s2, s3).
+
+    Every reading of every name is a row; they meet the written-out forms in an equi-join. A name without a country looks in all.
+    """
+    key = lambda c: F.concat_ws(" ", F.sort_array(c))
+    own = stats.select("kind", key(F.col("proper")).alias("at"), F.coalesce("country", F.lit("")).alias("c")).distinct()
+    known = own.unionByName(own.select("kind", "at", F.lit("").alias("c"))).distinct()
+    rows = None
+    for i, (proper, kinds) in enumerate((("proper", "kinds"), ("proper2", "kinds2"), ("proper3", "kinds3")), 1):
+        part = parsed.where(F.size(kinds) > 0).select("name_norm", F.lit(i).alias("i"), F.explode(kinds).alias("kind"), key(F.col(proper)).alias("at"), F.coalesce("country", F.lit("")).alias("c"))
+        rows = part if rows is None else rows.unionByName(part)
+    met = rows.join(known, ["kind", "at", "c"], "left_semi").groupBy("name_norm").agg(*[F.collect_set(F.when(F.col("i") == i, F.col("kind"))).alias(f"s{i}") for i in (1, 2, 3)])
+    return parsed.join(met, "name_norm", "left")
+
+
 def link_names(organizations: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(name_norm, entity)``: rows of one entity share it; categories and null names are no rows of it.
 
@@ -257,22 +292,40 @@ def link_names(organizations: DataFrame, aliases: DataFrame) -> DataFrame:
     extra = known.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).select(F.concat(F.lit("\u0000"), F.col("name")).alias("name_norm"), "name", F.lit(None).cast("string").alias("country"))
     parsed = materialize(rows.unionByName(extra).mapInPandas(_parse_all, _PARSED), "names-parsed")
 
-    stats = parsed.where(F.col("plain") & (F.size("proper") > 0) & F.col("proper2").isNull()).select(F.element_at("kinds", 1).alias("kind"), "initials", F.concat_ws("", "proper").alias("place"))
-    counts = stats.where("kind != ''").groupBy("kind").agg(F.countDistinct(F.substring("place", 1, 3)).alias("n")).orderBy(F.desc("n"), "kind").limit(MOST_KINDS)
-    kinds = {r.kind: r.n for r in counts.collect()}
+    stats = parsed.where(F.col("plain") & (F.size("proper") > 0) & F.col("proper2").isNull()).select(F.element_at("kinds", 1).alias("kind"), "initials", F.concat_ws("", "proper").alias("place"), "proper", "country")
+    counts = stats.where("kind != ''").groupBy("kind").agg(F.countDistinct(F.substring("place", 1, 3)).alias("n"))
+    kinds = {r.kind: r.n for r in _bounded(counts)}
     spelled = stats.where(F.length("initials") >= 2).groupBy("initials", "kind").agg(F.count(F.lit(1)).alias("n"))
     top = Window.partitionBy("initials").orderBy(F.desc("n"), "kind")
-    spelled = spelled.withColumn("rn", F.row_number().over(top)).where((F.col("rn") == 1) & (F.col("n") >= ESTABLISHED)).orderBy(F.desc("n"), "initials").limit(MOST_KINDS)
-    acronyms = {r.initials: r.kind for r in spelled.collect() if kinds.get(r.kind, 0) >= ESTABLISHED}
-    forms = parsed.mapInPandas(_resolve(kinds, acronyms), "name_norm string, country string, kind string, place string, words string, acronym string, established boolean")
+    spelled = spelled.withColumn("rn", F.row_number().over(top)).where((F.col("rn") == 1) & (F.col("n") >= ESTABLISHED))
+    acronyms = {r.initials: r.kind for r in _bounded(spelled) if kinds.get(r.kind, 0) >= ESTABLISHED}
+    forms = _written_out(parsed, stats).mapInPandas(_resolve(kinds, acronyms), "name_norm string, country string, kind string, place string, sorted string, words string, acronym string, established boolean")
     forms = materialize(forms, "names-forms")
 
-    placed = forms.where("established").select("name_norm", F.concat_ws("\u0001", F.lit("k"), "kind").alias("kind"), "place", "country")
+    placed = forms.where("established").select("name_norm", F.concat_ws("\u0001", F.lit("k"), "kind").alias("kind"), "place", "sorted", "country")
     funds = _bodies(forms.where("not established"))
     linked = _roots(placed.unionByName(funds))
     return linked.where(~F.startswith("name_norm", F.lit("\u0000"))).select("name_norm", "entity")
 
 
+def _bounded(rows: DataFrame) -> list:
+    """The rows, of which there are at most MOST_KINDS."""
+    found = rows.limit(MOST_KINDS + 1).collect()
+    if len(found) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of bodies")
+    return found
+
+
+def _follow(up: DataFrame, name: str) -> DataFrame:
+    """``(node, root)`` of pointers without cycles, each round reaching twice as far, until nothing moves."""
+    while True:
+        step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        after = materialize(up.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), name)
+        up = after.select("node", "root")
+        if after.where("moved").isEmpty():
+            return up
+
+
 def _bodies(forms: DataFrame) -> DataFrame:
     """Bodies without an established kind: shortened, reordered and abbreviated names join the fullest form."""
     w = F.filter(F.array_distinct(F.split("words", " ")), lambda x: x != "")
@@ -288,59 +341,64 @@ def _bodies(forms: DataFrame) -> DataFrame:
     fixes = fixes.groupBy(F.col("a.word").alias("word")).agg(F.max_by("b.word", F.struct("b.n", "b.word")).alias("right"))
     words = sizes.select("bag", "n", "acronym", F.posexplode("w").alias("at", "word")).join(fixes, "word", "left")
     fixed = words.groupBy("bag", "n", "acronym").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("p")).select("bag", "n", "acronym", F.array_distinct(F.col("p.w")).alias("w"))
-    fixed = fixed.withColumn("key", F.concat_ws(" ", F.sort_array("w")))
+    fixed = materialize(fixed.withColumn("key", F.concat_ws(" ", F.sort_array("w"))), "names-fixed")
     grown = fixed.groupBy("key").agg(F.sum("n").alias("n"), F.min_by("w", F.struct(F.when(F.col("acronym").isNotNull(), 0).otherwise(1), F.col("bag"))).alias("w"), F.max("acronym").alias("acronym"))
+    grown = materialize(grown, "names-grown")
     parent = grown.where(F.size("w") >= 3).select(F.col("key").alias("pkey"), F.col("w").alias("pw"), F.col("n").alias("pn"), F.element_at("w", 1).alias("head"), F.col("acronym").alias("pacr"))
-    # a child holds the head word of its parent and no, or fewer than half, other words; they meet on the child's two
-    # rarest words, so that a word that many names share brings no pairs together by itself
+    # a child holds the head word of its parent and no, or fewer than half, other words. A child all of whose words the parent
+    # has meets it on its rarest word; one of m words that shares at least 3 and half of them meets it on one of its
+    # m - max(3, m / 2) + 1 rarest (prefix filtering): no such parent is passed over, and common words bring no pairs together
     common = grown.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    each = grown.select("key", "w", F.explode("w").alias("word")).join(common, "word")
-    rare = each.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))).where("rn <= 2")
-    child = rare.select("key", "w", F.size("w").alias("m"), "word")
+    each = grown.select("key", "n", "w", F.explode("w").alias("word")).join(common, "word")
+    m = F.size("w")
+    prefix = F.greatest(F.lit(1), m - F.greatest(F.lit(3), F.ceil(m / 2).cast("int")) + 1)
+    child = each.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))).where(F.col("rn") <= prefix).select("key", "n", "w", m.alias("m"), "word")
     owner = parent.withColumn("word", F.explode("pw"))
     shared = F.size(F.array_intersect("w", "pw"))
-    sub = child.join(owner, "word").where(F.array_contains("w", F.col("head")) & (F.col("key") != F.col("pkey")) & (F.size("pw") > F.col("m") - 1) & (((shared == F.col("m")) & (F.size("pw") > F.col("m"))) | ((shared >= 3) & (shared * 2 >= F.col("m")) & F.col("pacr").isNotNull()))).select("key", "pkey", "pn", shared.alias("shared"))
+    larger = (F.size("pw") > F.col("m")) | ((F.size("pw") == F.col("m")) & (F.struct("pn", "pkey") > F.struct(F.col("n").alias("pn"), F.col("key").alias("pkey"))))  # an order, so that pointers never close a ring
+    whole, most = (shared == F.col("m")) & (F.size("pw") > F.col("m")), (shared >= 3) & (shared * 2 >= F.col("m")) & F.col("pacr").isNotNull()
+    sub = child.join(owner, "word").where(F.array_contains("w", F.col("head")) & (F.col("key") != F.col("pkey")) & larger & (whole | most)).select("key", "pkey", "pn", shared.alias("shared")).distinct()
     # an acronym alone: the initials of a fuller name, or what stands in brackets after one
     initials = F.concat_ws("", F.transform("pw", lambda x: F.substring(x, 1, 1)))
     short = grown.where(F.size("w") <= 2).select("key", F.concat_ws("", "w").alias("a"))
     named = parent.select("pkey", "pn", F.explode(F.array_distinct(F.array(initials, F.coalesce("pacr", initials)))).alias("a"))
     spelt = short.join(named, "a").where(F.col("key") != F.col("pkey")).select("key", "pkey", "pn", F.lit(99).alias("shared"))
     up = sub.unionByName(spelt).groupBy("key").agg(F.max_by("pkey", F.struct("shared", "pn", "pkey")).alias("up"))
-    step = up.select(F.col("key").alias("up"), F.col("up").alias("up2"))
-    top = up.join(step, "up", "left").select("key", F.coalesce("up2", "up").alias("top"))
-    keys = fixed.join(top, "key", "left").select("bag", F.coalesce("top", "key").alias("place"))
-    out = body.join(keys, "bag").select("name_norm", F.lit("b").alias("kind"), "place", "country")
-    return out.where("place != ''").unionByName(body.where("bag = ''").select("name_norm", F.lit("x").alias("kind"), F.col("name_norm").alias("place"), "country"))
+    top = _follow(materialize(up.select(F.col("key").alias("node"), F.col("up").alias("root")), "names-bodies"), "names-bodies")
+    keys = fixed.join(top.withColumnRenamed("node", "key"), "key", "left").select("bag", F.coalesce("root", "key").alias("place"))
+    out = body.join(keys, "bag").select("name_norm", F.lit("b").alias("kind"), "place", F.col("place").alias("sorted"), "country")
+    return out.where("place != ''").unionByName(body.where("bag = ''").select("name_norm", F.lit("x").alias("kind"), F.col("name_norm").alias("place"), F.col("name_norm").alias("sorted"), "country"))
 
 
-def _roots(forms: DataFrame, rounds: int = 8) -> DataFrame:
+def _roots(forms: DataFrame) -> DataFrame:
     """``(name_norm, entity)``: every form follows its pointers to the most frequent form it can be rewritten to."""
     forms = materialize(forms.withColumn("country", F.coalesce("country", F.lit(""))), "names-placed")
-    nodes = forms.groupBy("kind", "place", "country").agg(F.count(F.lit(1)).alias("n"))
+    nodes = forms.groupBy("kind", "place", "country").agg(F.count(F.lit(1)).alias("n"), F.min("sorted").alias("sorted"))
     nodes = nodes.withColumn("node", F.concat_ws("\u0001", "kind", "place", "country"))
     cut = F.transform(F.sequence(F.lit(1), F.length("place")), lambda i: F.concat(F.substring(F.col("place"), F.lit(1), i - 1), F.substring(F.col("place"), i + 1, F.length("place"))))
-    # bodies were repaired word by word: only their equal forms meet
-    shapes = nodes.withColumn("form", F.explode(F.when(F.startswith("kind", F.lit("k")) & (F.length("place") >= 5), F.array_union(F.array("place"), cut)).otherwise(F.array("place"))))
-    a = shapes.select("kind", "form", F.col("node").alias("an"), F.col("place").alias("ap"), F.col("country").alias("ac"), F.col("n").alias("nn"))
-    b = shapes.select("kind", "form", F.col("node").alias("bn"), F.col("place").alias("bp"), F.col("country").alias("bc"), F.col("n").alias("bm"))
-    far = F.levenshtein("ap", "bp")
-    meet = a.join(b, ["kind", "form"]).where((F.col("an") != F.col("bn")) & ((F.col("ac") == F.col("bc")) | (F.col("ac") == "")))
-    meet = meet.withColumn("far", far).where(F.col("far") <= F.when(F.least(F.length("ap"), F.length("bp")) >= 7, 2).otherwise(1))
-    meet = meet.select("an", "ac", "bn", "bc", "nn", "bm", "far").distinct()
+    # bodies were repaired word by word: only their equal forms meet; reordered proper parts meet on their sorted words
+    typed = F.when(F.startswith("kind", F.lit("k")) & (F.length("place") >= 5), F.array_union(F.array("place"), cut)).otherwise(F.array("place"))
+    shapes = nodes.withColumn("form", F.explode(F.concat(typed, F.when(F.contains("sorted", F.lit(" ")) & F.startswith("kind", F.lit("k")), F.array(F.concat(F.lit("\u0001"), "sorted"))).otherwise(F.array().cast("array<string>")))))
+    shapes = materialize(shapes.select("kind", "form", "country", "node", "place", "sorted", "n"), "names-shapes")
+    a = shapes.select("kind", "form", F.col("country").alias("ac"), F.col("node").alias("an"), F.col("place").alias("ap"), F.col("sorted").alias("asort"), F.col("n").alias("nn"))
+    b = shapes.select("kind", "form", F.col("country").alias("bc"), F.col("node").alias("bn"), F.col("place").alias("bp"), F.col("sorted").alias("bsort"), F.col("n").alias("bm"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        far = F.when(F.col("asort") == F.col("bsort"), 0).otherwise(F.levenshtein("ap", "bp"))
+        close = pairs.withColumn("far", far).where((F.col("an") != F.col("bn")) & (F.col("far") <= F.when(F.least(F.length("ap"), F.length("bp")) >= 7, 2).otherwise(1)))
+        return close.select("an", "bn", "bc", "nn", "bm", "far").distinct()
+
+    # the country is part of the key: a form that every country uses brings no pairs of different countries together
+    home = near(a.join(b.withColumn("ac", F.col("bc")), ["kind", "form", "ac"]))
     # without a country: the only country at the least distance, or none
-    abroad = meet.where((F.col("ac") == "") & (F.col("bc") != ""))
+    abroad = near(a.where("ac = ''").drop("ac").join(b.where("bc != ''"), ["kind", "form"]))
     nearest = Window.partitionBy("an").orderBy("far")
     abroad = abroad.withColumn("r", F.rank().over(nearest)).where("r = 1").groupBy("an").agg(F.max_by("bn", F.struct("bm", "bn")).alias("up"), F.count_distinct("bc").alias("c")).where("c = 1").select("an", "up")
-    home = meet.where((F.col("ac") == F.col("bc")) & ((F.col("bm") > F.col("nn")) | ((F.col("bm") == F.col("nn")) & (F.col("bn") < F.col("an")))))
+    home = home.where((F.col("bm") > F.col("nn")) | ((F.col("bm") == F.col("nn")) & (F.col("bn") < F.col("an"))))
     home = home.groupBy("an").agg(F.max_by("bn", F.struct(-F.col("far"), F.col("bm"), F.col("bn"))).alias("up"))
     up = nodes.select(F.col("node").alias("an")).join(abroad, "an", "left").join(home.withColumnRenamed("up", "up2"), "an", "left")
     up = materialize(up.select(F.col("an").alias("node"), F.coalesce("up", "up2", "an").alias("root")), "names-up")
-    for _ in range(rounds):  # pointers double their reach each round
-        step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = materialize(up.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "names-up")
-        up = after.select("node", "root")
-        if after.where("moved").isEmpty():
-            break
+    up = _follow(up, "names-up")
     return forms.withColumn("node", F.concat_ws("\u0001", "kind", "place", "country")).join(up, "node").select("name_norm", F.col("root").alias("entity"))
 
 
