@@ -41,8 +41,8 @@ TOKEN = re.compile(r"https?://\S+|www\.\S+|\]\([^)\s]*\)|#\w+|[^\W\d_]+|\d+(?:[.
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 NUMBERED = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 #: Sentences that extraction broke over lines.
-HYPHENATED = re.compile(r"(?<=[^\W\d_A-Z])-\n(?=[^\W\d_A-Z])")
-WRAPPED = re.compile(r"(?<=[^\W\d_A-Z]|[,;])\n(?=[^\W\d_A-Z])|\n[ \t]+(?=\S)")
+HYPHENATED = re.compile(r"-\n(?<=[^\W\d_A-Z]-\n)(?=[^\W\d_A-Z])")
+WRAPPED = re.compile(r"\n(?:(?:(?<=[^\W\d_A-Z]\n)|(?<=[,;]\n))(?=[^\W\d_A-Z])|[ \t]+(?=\S))")
 REFERENCE = re.compile(r"^\s*\[\d+\]\s(?!\s*(?:https?://\S+|www\.\S+)\s*$)")
 #: A row of cells without figures and rules, as menus have them.
 MENU = re.compile(r"[^\d]*[^\W\d_][^\d]*")
@@ -107,7 +107,7 @@ def classes(segment: str, known: dict | None = None) -> tuple[list[int], list[st
     look = class_of if known is None else known.__getitem__
     found = [look(t) for t in TOKEN.findall(segment)]
     codes = [c for c, _ in found]
-    return codes, [w for _, w in found if w is not None], sum(0 < c <= FUNCTION for c in codes)
+    return codes, [w for _, w in found if w is not None], len([c for c in codes if 0 < c <= FUNCTION])
 
 
 def segments(text: str) -> list[tuple[str, str]]:
