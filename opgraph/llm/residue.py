@@ -18,11 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opgraph.plans.materialize import materialize
@@ -85,10 +84,11 @@ FAULT_WORDS = "page pages server serveur servidor gateway host service browser s
 #: A superset of how placeholders begin.
 TRIGGER_PUNCTUATION = r"[{}●«»\[]|<[<a-z]|\(\s*(?i:insert|enter|type|fill|add|provide|specify|state|name|date|amount|to be|tb[cd]|à|a )|%%|@@|__|#[a-z]+[_#]"
 # -------------------------------------------------------------------------------------------------
-SEGMENT = re.compile(r"(?<=[.!?…])\s+|\n+")
-HYPHENATED = re.compile(r"(?<=[^\W\d_A-Z])-\n(?=[^\W\d_A-Z])")
-WRAPPED = re.compile(r"(?<=[^\W\d_]|[,;])\n(?=[^\W\d_A-Z])|\n[ \t]+(?=\S)")
+SEGMENT = re.compile(r"\s(?:(?<=[.!?…]\s)|(?<=\n))\s*")
+HYPHENATED = re.compile(r"-\n(?<=[^\W\d_A-Z]-\n)(?=[^\W\d_A-Z])")
+WRAPPED = re.compile(r"\n(?:(?:(?<=[^\W\d_]\n)|(?<=[,;]\n))(?=[^\W\d_A-Z])|[ \t]+(?=\S))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
+DIGIT = re.compile(r"\d")
 MASK = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 #: A segment of more words than this that speaks of faults is no message by itself; host evidence decides on it.
 MOST_WORDS = 14
@@ -212,12 +212,23 @@ def _tabular(segment: str, words: list[str]) -> bool:
 
 def _mask(segment: str) -> int:
     """64 bits of a segment without its numbers and case."""
-    return int.from_bytes(hashlib.blake2b(MASK.sub("0", segment.lower()).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+    low = segment.lower()
+    if DIGIT.search(low):
+        low = MASK.sub("0", low)
+    return int.from_bytes(hashlib.blake2b(low.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
 
 
-_SEGMENT = pa.struct([("mask", pa.int64()), ("seed", pa.bool_()), ("weak", pa.bool_()), ("apart", pa.bool_())])
-_SEEN = pa.schema([("id", pa.string()), ("ver", pa.string()), ("host", pa.string()), ("reasons", pa.list_(pa.string())), ("segments", pa.list_(_SEGMENT))])
-_SEEN_DDL = "id string, ver string, host string, reasons array<string>, segments array<struct<mask:long,seed:boolean,weak:boolean,apart:boolean>>"
+#: Bits of a segment: the detectors flag it; its words alone make it suspect; it shares no term with slug, title and the rest of the body.
+SEED, WEAK, FREE = 1, 2, 4
+_SEEN = pa.schema([("id", pa.string()), ("ver", pa.string()), ("host", pa.string()), ("reasons", pa.list_(pa.string())), ("masks", pa.list_(pa.int64())), ("bits", pa.list_(pa.int8()))])
+_SEEN_DDL = "id string, ver string, host string, reasons array<string>, masks array<long>, bits array<tinyint>"
+
+
+def _segments(seen: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row a segment: ``columns``, mask, seed, weak, apart."""
+    has = lambda bit: F.col("s.bits").bitwiseAND(F.lit(bit).cast("tinyint")) != 0
+    rows = seen.select(*columns, F.explode(F.arrays_zip("masks", "bits")).alias("s"))
+    return rows.select(*[c for c in rows.columns if c != "s"], F.col("s.masks").alias("mask"), has(SEED).alias("seed"), has(WEAK).alias("weak"), has(FREE).alias("apart"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +239,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             segments = [x.strip() for x in SEGMENT.split(text)]
             segments = [x for x in segments if x]
             words = {x: WORD.findall(x.lower()) for x in segments}
-            content = {x: {w for w in found if len(w) > 3} for x, found in words.items()}
+            content = [{w for w in found if len(w) > 3} for found in words.values()]
             host, _, path = key.partition(":")
             terms = set(WORD.findall(f"{path.partition('#')[0]} {title or ''}".lower()))
-            body = Counter(w for found in content.values() for w in found)
+            once: set[str] = set()
+            again = set(terms)
+            for own in content:
+                again |= once & own
+                once |= own
             reasons: set[str] = set()
-            rows = []
-            for segment, found in words.items():
+            masks, bits = [], []
+            for (segment, found), own in zip(words.items(), content):
                 reason, weak = judge(segment, found)
                 if reason:
                     reasons.add(reason)
-                own = content[segment]
-                rows.append({"mask": _mask(segment), "seed": reason is not None, "weak": weak, "apart": terms.isdisjoint(own) and all(body[w] == 1 for w in own)})
+                masks.append(_mask(segment))
+                bits.append((SEED if reason else 0) | (WEAK if weak else 0) | (FREE if again.isdisjoint(own) else 0))
             unwrapped = WRAPPED.sub(" ", HYPHENATED.sub("", text))
             if unwrapped != text:  # sentences that extraction broke over lines are judged whole as well
                 for x in dict.fromkeys(SEGMENT.split(unwrapped)):
@@ -249,7 +264,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             reasons.add(reason)
             if len(segments) >= 3 and 2 * len(words) < len(segments) and not any(_tabular(x, found) for x, found in words.items()):
                 reasons.add("repetition")
-            out.append((key, ver, host, sorted(reasons), rows))
+            out.append((key, ver, host, sorted(reasons), masks, bits))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEEN)], schema=_SEEN)
 
@@ -267,8 +282,7 @@ def segment_hosts(seen: DataFrame) -> DataFrame:
 
     A segment that a third of all records hold reaches the shuffle once per host and task.
     """
-    parts = seen.select("host", F.explode("segments").alias("s")).select("host", "s.*")
-    by_host = parts.groupBy("mask", "host").agg(F.max("apart").alias("apart"), F.max("weak").alias("weak"))
+    by_host = _segments(seen, "host").groupBy("mask", "host").agg(F.max("apart").alias("apart"), F.max("weak").alias("weak"))
     return by_host.groupBy("mask").agg(F.count(F.lit(1)).alias("hosts"), F.count_if("apart").alias("apart"), F.max("weak").alias("weak"))
 
 
@@ -277,7 +291,7 @@ def host_evidence(seen: DataFrame) -> DataFrame:
     spread = segment_hosts(seen).where((F.col("hosts") >= HOSTS) & (F.col("apart") >= APART * F.col("hosts")))
     spread = materialize(spread.select("mask", "hosts", "weak"), "residue-spread")
     record = F.xxhash64("kind", "id", "ver").alias("record")
-    parts = seen.select(record, "host", F.explode("segments").alias("s")).select("record", "host", "s.mask", "s.seed")
+    parts = _segments(seen, record, "host").select("record", "host", "mask", "seed")
     held = materialize(parts.join(spread, "mask").select("record", "host", "mask", "seed", "weak", "hosts"), "residue-held")
     # records known to hold residue, and segments that joined; each round looks only at the holders of what joined last
     known = materialize(seen.where(F.size("reasons") > 0).select(record).distinct(), "residue-known")
@@ -292,7 +306,7 @@ def host_evidence(seen: DataFrame) -> DataFrame:
         if joined.isEmpty():
             break
         everything = materialize(everything.unionByName(joined), "residue-masks")
-    exploded = seen.select("kind", "id", "ver", F.explode("segments.mask").alias("mask"))
+    exploded = seen.select("kind", "id", "ver", F.explode("masks").alias("mask"))
     return exploded.join(everything, "mask", "left_semi")
 
 
