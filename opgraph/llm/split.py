@@ -153,12 +153,14 @@ def split_oversized(
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(version_col).alias("ver") if version_col else F.lit(0).alias("ver"))
-    newest = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("ver").alias("newest"))
+    # 128 bits stand for an id, as ids are long; versions and long texts meet without another shuffle
+    rows = rows.where(F.col("id").isNotNull()).withColumn("key", F.struct(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(7), F.col("id")).alias("h2")))
+    newest = rows.groupBy("key").agg(F.max("ver").alias("newest"))
     long = rows.where(at_least_tokens(F.col("text"), limit + 1)).where(count_tokens(F.col("text")) > limit)
-    # one shuffle by id with a fixed number of partitions: cutting costs far more than its bytes tell, so they are not coalesced
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = latest(long.repartition(parts, "id").withColumn("at", F.col("ver")), "id", ["at", "text"], "ver")
-    long = long.join(newest, "id").where(F.col("at").eqNullSafe(F.col("newest"))).select(F.lit(kind).alias("record_kind"), "id", "text")
+    long = latest(long.withColumn("at", F.col("ver")), "key", ["at", "id", "text"], "ver").join(newest, "key")
+    long = long.where(F.col("at").eqNullSafe(F.col("newest"))).select(F.lit(kind).alias("record_kind"), "id", "text")
+    # cutting costs far more than its bytes tell: a fixed number of partitions, which are not coalesced
+    long = long.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     return long.mapInArrow(_split(limit, overlap), _PIECES).where(F.col("pieces") > 1)
 
 
