@@ -6,7 +6,7 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opgraph.functions.text import EMAIL, PHONE
@@ -34,6 +34,44 @@ def summary(scores: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.sum(F.col("passed").cast("long")).alias("passed"))
 
 
+def size_histogram(rows: DataFrame, size: str, step: int, most: int) -> DataFrame:
+    """``(width_bucket, n)``: rows by size; 0 holds sizes of 0, bucket b sizes in (step * (b - 1), step * b], the last one all greater ones."""
+    bucket = F.when(F.col(size) <= 0, 0).otherwise(F.least(F.lit(most), F.ceil(F.col(size) / step).cast("int"))).cast("int")
+    return rows.groupBy(bucket.alias("width_bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def passes(scores: DataFrame, by: str = "category") -> DataFrame:
+    """``(category, n, passed, cost)`` with one row of totals (null category): what a run of questions reached and cost."""
+    return scores.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("long")).alias("passed"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost"))
+
+
+def payload_error(output: Column) -> Column:
+    """The error that a call's output states, or null."""
+    return F.get_json_object(output, "$.error")
+
+
+def tool_name(name: Column) -> Column:
+    """A tool's name without the prefix of its server."""
+    return F.regexp_replace(name, r"^mcp__[^_]+(?:_[^_]+)*__", "")
+
+
+def read_trace(lines: DataFrame, questions: DataFrame, key: str = "file") -> DataFrame:
+    """``(file, question)``: from the meta record on the first line of a trace, else from the question whose id is the file's stem."""
+    first = lines.where(F.col("line") == 0).select(key, F.get_json_object("value", "$.question").alias("_q"))
+    stem = F.regexp_replace(key, r"\.[^.]*$", "")
+    known = questions.select(F.col("id").alias("_id"), F.col("question").alias("_known"))
+    return first.join(known, stem == F.col("_id"), "left").select(key, F.coalesce("_q", "_known").alias("question"))
+
+
+def save_trace(path: str, question: str, lines: list[str], secrets: dict[str, str] | None = None) -> int:
+    """Write a trace of one question: a meta line, then the scrubbed stream; returns the lines written."""
+    from pathlib import Path
+
+    kept = [json.dumps({"question": scrub(question, secrets)}, ensure_ascii=False), *(scrub(x, secrets) for x in lines)]
+    Path(path).write_text("\n".join(kept) + "\n")
+    return len(kept)
+
+
 def score_answers(answers: DataFrame) -> DataFrame:
     """Route, ids, facts and forbidden claims of answers.
 
@@ -66,7 +104,7 @@ def tool_calls(events: DataFrame, key: str = "file", at: str = "line") -> DataFr
     items = events.where(F.col("type").isin("assistant", "user")).select(key, at, F.explode("message.content").alias("c"))
     use = items.where("c.type = 'tool_use'").select(key, at, F.col("c.id").alias("id"), F.col("c.name").alias("tool"), F.col("c.input").alias("input"))
     res = items.where("c.type = 'tool_result'").select(key, F.col("c.tool_use_id").alias("id"), F.col("c.content").alias("output"), F.coalesce("c.is_error", F.lit(False)).alias("error"))
-    return use.join(res.dropDuplicates([key, "id"]), [key, "id"], "left").select(key, at, "id", F.regexp_replace("tool", r"^mcp__[^_]+(?:_[^_]+)*__", "").alias("tool"), "input", "output", (F.coalesce("error", F.lit(False)) | F.coalesce(F.get_json_object("output", "$.error").isNotNull(), F.lit(False))).alias("error"))
+    return use.join(res.dropDuplicates([key, "id"]), [key, "id"], "left").select(key, at, "id", tool_name(F.col("tool")).alias("tool"), "input", "output", (F.coalesce("error", F.lit(False)) | F.coalesce(payload_error(F.col("output")).isNotNull(), F.lit(False))).alias("error"))
 
 
 def routes(calls: DataFrame, key: str = "file", at: str = "line", tool: str = "tool") -> DataFrame:

@@ -146,7 +146,7 @@ def test_sheet(spark):
     assert (d.project_id, d.instrument, d.es_risk_rating, d.name, d.country) == ("P123456", "IPF", "Substantial", "Water for All", "Land")
     assert d.modalities == ["fragile_state", "mpa"] and (d.approval_date, d.closing_date) == ("2026-02-01", "2031-06-30") and d.pdo_text == "To improve water for all."
     assert [a.name for a in d.agencies] == ["Republic of Land", "Ministry of Water (MoW)", "Roads Agency (RA)", "Port Agency (PA)"]
-    assert [(f.category, f.source, f.detail, f.amount_usd, f.balanced) for f in d.financing] == [("lender", "IDA", "IDA Credit", 45000000, True), ("lender", "IDA", "IDA Grant", 55000000, True), ("counterpart", None, "Borrower/Recipient", 10000000, True)]
+    assert [(f.category, f.source, f.detail, f.amount_usd, f.balanced) for f in d.financing] == [("lender", "IDA", "IDA Credit", 45000000, True), ("lender", "IDA", "IDA Grant", 55000000, True), ("counterpart", "Republic of Land", "Borrower/Recipient", 10000000, True)]
     assert d.totals["total_financing"] == 110.0 and d.overall_risk == "Substantial" and [x.rating for x in d.risks] == ["High", "Low"]
     assert r[1].financing == [] and r[1].project_id is None
 
@@ -161,4 +161,36 @@ def test_amounts_conflicts_phases(spark):
     ph = spark.createDataFrame([("m", 1, 1.0, None, 2.0), ("m", 3, 2.0, 5.0, None)], "program_id string, phase int, ibrd double, ida double, other double")
     r = facts.reconcile_phases(ph).first()
     assert (r.missing, r.ibrd, r.ida, r.other) == ([2], 3.0, 5.0, 2.0)
-    assert [p["phase"] for p in facts.phases([["Phase 1", "P123456", "Start", "10.0", "2.0"], ["2", "Later", "5.0"], ["x", "y", "z"]])] == [1, 2]
+
+
+MORE = [
+    ["Operation ID", "Financing Instrument", "Process"], ["P123456", "Investment Project Financing", "Urgent"], ["", "(IPF)", "Need"], [None], ["Practice Area (Lead)", "", "Contributing Practice Areas"], ["Water", "", "Energy;"], ["", "", "Health"],
+    ["MPA Program Financing Envelope", "300.00"], ["of which Bank Financing (IDA)", "90.00"], ["Overall MPA Program", "High"],
+    ["1", "Land; P123456", "Sequential", "aim", "IPF", "10.0", "80.0", "", "Sept-25", "High"], ["2", "Later", "Simultaneous", "aim", "P4R", "20.0", "5.0", "7.0"], ["2", "Again", "x", "IPF", "1.0"],
+    ["World Bank Group Financing"], ["Trust Funds", "5.00"], ["Energy Fund (EF)", "5.00"],
+]
+
+
+def test_sheet_with_program(spark):
+    df = spark.createDataFrame([("d", MORE)], "doc_id string, rows array<array<string>>")
+    parsed = facts.parse_sheets(df, {"energy fund ef": "EF"})
+    d = parsed.first()
+    assert d.instrument_text == "Investment Project Financing (IPF)" and d.practice_area_lead == "Water" and d.practice_areas_contributing == ["Energy", "Health"]
+    assert d.envelope_millions == 300.0 and d.envelope_breakdown.ida == 90.0 and [(r.category, r.scope) for r in d.risks] == [("Overall MPA Program", "mpa_program")]
+    assert [(p.phase, p.project_id, p.label, p.instrument, p.ibrd, p.ida, p.estimated_approval, p.is_this_operation) for p in d.phases] == [(1, "P123456", "Land", "IPF", 10.0, 80.0, "Sept-25", True), (2, None, "Later", "PforR", 20.0, 5.0, None, False)]
+    assert [(f.side, f.source, f.detail) for f in d.financing if f.label.startswith("Energy")] == [("World Bank Group", "EF", "Energy Fund (EF)")]
+    assert {(m.field, m.kind) for m in d.missing} >= {("name", "absent"), ("pdo_text", "absent")}
+    assert [(r.check, r.expected, r.found) for r in facts.program_checks(parsed).collect()] == [("ida", 90.0, 85.0)]
+    head, land = spark.createDataFrame([("d", "P123456")], "doc_id string, header_id string"), spark.createDataFrame([("land", "Land", "LD", "R")], "name_norm string, canonical string, iso2 string, region string")
+    api = spark.createDataFrame([("P123456", None, "Active", "ok")], "project_id string, region string, status string, api_status string")
+    r = facts.complete_operations(parsed, head, land, api, "2024-01-01").first()
+    assert (r.project_id_confirmed, r.status, r.status_source, r.region, r.country_iso2) == (True, "Active", "api", None, None)
+
+
+def test_sheet_rows_and_cover(spark):
+    secs = spark.createDataFrame([("d", 3, "datasheet"), ("d", 5, "datasheet"), ("e", 1, "datasheet"), ("f", 1, "x")], "doc_id string, order int, subtype string")
+    tabs = spark.createDataFrame([("d", 3, 1, [["b"]]), ("d", 3, 0, [["a"], ["c"]]), ("d", 5, 2, [["z"]])], "doc_id string, order int, table_no int, rows array<array<string>>")
+    assert {r.doc_id: r.rows for r in facts.sheet_rows(secs, tabs).collect()} == {"d": [["a"], ["c"], ["b"]], "e": []}
+    rows = spark.createDataFrame([("d", 1, 0, "Report No: PAD123"), ("d", 1, 1, "PROPOSED CREDIT IN THE AMOUNT OF EUR 350 MILLION (US$411 MILLION EQUIVALENT) TO X ON May 3, 2025")], "doc_id string, page int, row_no int, text string")
+    r = facts.cover_facts(rows).first()
+    assert r.report_number == "PAD123" and str(r.date) == "2025-05-03" and (r.amounts[0].currency, r.amounts[0].usd_millions) == ("EUR", 411.0)
