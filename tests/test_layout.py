@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,8 +72,31 @@ def test_document_facts(spark):
     ("ABBREVIATIONS\nIDA International Association\nAfDB\nAfrican Bank\nWater Board\nWB\nTABLE OF CONTENTS\nXX Later", [("IDA", "International Association"), ("AfDB", "African Bank"), ("WB", "Water Board")]),
     ("no list\nIDA x", []), ("ABBREVIATIONS\nIDA One\nEnd ........ 3\nWB Two", [("IDA", "One")]),
 ])
-def test_glossary(text, want):
-    assert glossary.pairs_of_text(text) == want
+def test_glossary(spark, text, want):
+    got = glossary.from_text(spark.createDataFrame([("d", text), ("n", None), ("e", "")], "id string, text string"), "id").orderBy("at").collect()
+    assert [(r.acronym, r.expansion) for r in got] == want
+
+
+def test_glossary_halves_as_a_fold(spark):
+    rng = random.Random(2)
+    words = {"a": "WB", "e": "Water Board", "f": "IDA International Association"}
+    texts = ["".join(rng.choice("aaeef") for _ in range(rng.randint(0, 9))) for _ in range(120)]
+
+    def fold(kinds):
+        out, waiting = [], None
+        for i, k in enumerate(kinds):
+            if k == "f" or (waiting and waiting != k):
+                out.append(i)
+                waiting = None
+            else:
+                waiting = k
+        return out
+
+    df = spark.createDataFrame([(i, "\n".join(words[k] + (str(j) if k != "f" else "") for j, k in enumerate(t))) for i, t in enumerate(texts)], "id int, text string")
+    got = {}
+    for r in glossary.from_text(df, "id", needs_start=False).collect():
+        got.setdefault(int(r.id), set()).add(r["at"])
+    assert {i: set(fold(t)) for i, t in enumerate(texts) if fold(t)} == got
 
 
 def test_glossary_merge(spark):
@@ -93,3 +118,23 @@ def test_validation(spark):
     d = spark.createDataFrame([("h", "main", "key_risks", False), ("h", "main", "datasheet", True)], "document_hash string, scope string, subtype string, inherited boolean")
     assert {r.subtype for r in layout.missing_core(d, ["key_risks", "datasheet"]).collect()} == {"datasheet"}
     assert layout.missing_core(d.where(F.lit(False)), ["a"]).collect() == []
+
+
+def test_deep_levels_scope_and_ids(spark):
+    secs = spark.createDataFrame([("d", i, i, f"T{i}" if i != 2 else "MPA Phase 2 Annex") for i in range(1, 13)] + [("d", 13, 2, "Other")], "doc_id string, order int, level int, title string")
+    tree = layout.parents(secs)
+    assert {r.order: r.parent for r in tree.collect()} == {1: None, **{i: i - 1 for i in range(2, 13)}, 13: 1}
+    typed = tree.withColumn("subtype", F.when(F.col("order") == 2, "mpa_phase")).withColumn("inherited", F.lit(False))
+    ids = spark.createDataFrame([("d", 2, "P222222")], "doc_id string, phase int, project_id string")
+    got = {r.order: (r.scope, r.phase, r.phase_project_id) for r in layout.assign_scope(typed, ids).collect()}
+    assert got[1] == got[13] == ("main", None, None) and {got[i] for i in range(2, 13)} == {("phase", 2, "P222222")}
+
+
+def test_framework_tables_and_sizes(spark):
+    secs = spark.createDataFrame([("d", 1, "mpa_framework", "s1", "abc"), ("d", 2, "key_risks", "s2", None)], "doc_id string, order int, subtype string, section_id string, text string")
+    tabs = spark.createDataFrame([("d", 1, 0, "s1", [["1", "Land; P111111"], ["2", "none"], ["1", "P999999"], ["x", "P3"]]), *[("d", 2, i, "s2", [["ab", None]]) for i in range(3)]], "doc_id string, order int, table_no int, section_id string, rows array<array<string>>")
+    assert [tuple(r) for r in layout.framework_ids(secs, tabs).collect()] == [("d", 1, "P111111")]
+    assert [tuple(r) for r in layout.key_risk_tables(secs, tabs).collect()] == [("s2", 3)]
+    assert {r.section_id: r.size for r in layout.section_sizes(secs, tabs).collect()} == {"s1": 3 + 1 + 13 + 1 + 4 + 1 + 7 + 1 + 2, "s2": 6}
+    docs = spark.createDataFrame([("h", "a", "main", "x", False), ("g", "b", "main", "y", False)], "document_hash string, doc_type string, scope string, subtype string, inherited boolean")
+    assert {tuple(r) for r in layout.missing_core(docs, {"default": ["x"], "b": ["z"]}).collect()} == {("g", "z")}
