@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--k", type=int)
             p.add_argument("--per-project-k", type=int)
             p.add_argument("--front-matter", action="store_true")
+            p.add_argument("--no-vector", action="store_true", help="full text only: the table's vectors are not of the default embedder")
         if name in ("query", "run"):
             p.add_argument("text")
     a = parser.parse_args(argv)
@@ -54,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             show(query.graph_query(spark, a.text))
         else:
             context = retrieve.chunk_context(chunks, secs, ops)
-            show(retrieve.retrieve(context, a.question, None, split(a.projects), split(a.countries), split(a.types), a.scope, a.k, a.per_project_k, a.front_matter))
+            show(retrieve.retrieve(context, a.question, None, split(a.projects), split(a.countries), split(a.types), a.scope, a.k, a.per_project_k, a.front_matter, embed=not a.no_vector))
         return 0
     if a.out:
         out.write.parquet(a.out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from opgraph.functions import text as T
 from opgraph.functions.vocab import CORE, SECTION_TYPES
-from opgraph.operators import chunking, evaluate, facts, glossary, graph, index, layout, retrieve
+from opgraph.operators import build, chunking, evaluate, facts, glossary, graph, index, layout, retrieve
 from opgraph.operators.patterns import to_sql
 from opgraph.operators.query import Rejected, check
 from opgraph.plans.keys import latest, latest_wide
+from opgraph.plans.materialize import shared_dir
 from opgraph.session import table
 from opgraph.streaming.ingest import merge_latest
 
@@ -44,19 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Views of the graph's labels and edges over the tables, for ad-hoc queries."""
-    ops, secs, chunks, fin, orgs = (table(spark, sf_dir, t) for t in ("operations", "sections", "chunks", "finances", "organizations"))
-    graph.operations(ops).createOrReplaceTempView("Operation")
-    s = graph.sections(secs)
-    s.createOrReplaceTempView("Section")
-    latest(chunks, "chunk_id", ["section_id", "order", "kind", "text", "tokens", "page"], "loaded_at").createOrReplaceTempView("Chunk")
-    orgs.createOrReplaceTempView("Organization")
-    graph.finances_edges(fin).select(F.col("name_norm").alias("src"), F.col("project_id").alias("dst"), "detail", "category", "amount_usd", "orig_currency", "orig_amount").createOrReplaceTempView("FINANCES")
-    s.select("document_hash").distinct().withColumnRenamed("document_hash", "hash").createOrReplaceTempView("Document")
-    s.select(F.col("document_hash").alias("src"), F.col("project_id").alias("dst")).distinct().createOrReplaceTempView("DESCRIBES")
-    edges = graph.has_section_edges(s)
-    for kind in ("HAS_SECTION", "HAS_SUBSECTION"):
-        edges.where(F.col("type") == kind).select("src", "dst").createOrReplaceTempView(kind)
-    chunks.select(F.col("section_id").alias("src"), F.col("chunk_id").alias("dst")).distinct().createOrReplaceTempView("HAS_CHUNK")
+    build.register(*build.table_graph(*(table(spark, sf_dir, t) for t in ("operations", "sections", "chunks", "finances", "organizations"))))
 
 
 def _latest_sql(name: str, key: str) -> str:
@@ -141,7 +131,11 @@ def acronym_lines(secs):
     return ok.groupBy("document_hash", "acronym").agg(F.min("expansion").alias("expansion"))
 
 
-@query("sections")
+@query("sections", sql=f"""
+    SELECT section_id AS id, acronym, arg_min(expansion, pos) AS expansion FROM (
+      SELECT section_id, pos, regexp_extract(l, '^([A-Z0-9]+) ', 1) AS acronym, trim(regexp_extract(l, '^[A-Z0-9]+ (.+)$', 1)) AS expansion
+      FROM (SELECT section_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {SECS} WHERE type = 'front_matter' AND text IS NOT NULL)
+      WHERE regexp_matches(l, '^[A-Z][A-Z0-9]+ [A-Z][a-z]')) GROUP BY ALL""")
 def glossary_pairs(secs):
     rows = latest(secs, "section_id", ["type", "text"], "loaded_at").where("type = 'front_matter' AND text IS NOT NULL")
     return glossary.merge(glossary.from_text(rows, "section_id", needs_start=False))
@@ -235,7 +229,7 @@ def page_owner(chunks, secs):
     WITH s AS (SELECT * FROM {SECS}) SELECT coalesce(p.section_id, a.document_hash) AS src, a.section_id AS dst, CASE WHEN p.section_id IS NULL THEN 'HAS_SECTION' ELSE 'HAS_SUBSECTION' END AS type
     FROM s a LEFT JOIN s p ON a.document_hash = p.document_hash AND a.parent = p."order" """)
 def section_edges(secs):
-    return graph.has_section_edges(graph.sections(secs))
+    return graph.has_section_edges(graph.sections(secs, "document_hash", "order", "parent"))
 
 
 @query("sections", sql=f"""
@@ -244,7 +238,7 @@ def section_edges(secs):
     t(root, node, hops) AS (SELECT DISTINCT document_hash, document_hash, 0 FROM s UNION SELECT root, dst, hops + 1 FROM t JOIN e ON t.node = e.src WHERE hops < 16)
     SELECT root, node, min(hops) AS hops FROM t GROUP BY root, node""")
 def section_tree(secs):
-    s = graph.sections(secs)
+    s = graph.sections(secs, "document_hash", "order", "parent")
     return graph.descendants(graph.has_section_edges(s), s.select("document_hash"))
 
 
@@ -410,6 +404,8 @@ def readonly_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["readonly_guard"] = readonly_guard
+_SQL["readonly_guard"] = """SELECT * FROM (VALUES ('SELECT 1 AS x', true), ('DROP TABLE t', false), ('CREATE VIEW v AS SELECT 1', false), ('INSERT INTO t VALUES (1)', false), ('EXECUTE IMMEDIATE ''drop table t''', false),
+    ('SELECT reflect(''java.lang.System'', ''exit'', 1)', false), ('SELECT * FROM parquet.`/tmp/x`', false), ('SELECT * FROM nowhere', false)) AS t(statement, allowed)"""
 
 
 # ---- retrieval and evaluation ---------------------------------------------------------------------------
@@ -477,7 +473,7 @@ def hybrid_grouped(chunks, secs, ops):
 
 @query("chunks", "sections", "operations", sql=f"""
     SELECT c.chunk_id FROM {CHUNKS} c JOIN {SECS} s USING (section_id) LEFT JOIN {OPS} o USING (project_id)
-    WHERE (lower(o.country) = 'quorania' OR o.country_iso2 = 'XP') AND (s.type IN ('context', 'risks') OR s.subtype IN ('context', 'risks')) AND s.scope = 'main' AND (s.type <> 'front_matter' OR c.kind = 'glossary')""")
+    WHERE ({_FOLD.format('o.country')} = 'quorania' OR o.country_iso2 = 'XP') AND (s.type IN ('context', 'risks') OR s.subtype IN ('context', 'risks')) AND s.scope = 'main' AND (s.type <> 'front_matter' OR c.kind = 'glossary')""")
 def retrieval_filtered(chunks, secs, ops):
     keep = retrieve.context_filter(countries=["Quorania", "XP"], types=["context", "risks"], scope="main")
     return _context(chunks, secs, ops).where(keep).select("chunk_id")
@@ -535,10 +531,12 @@ def chunk_counts(chunks, secs):
     return rows.rollup("project_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("text", "table", "glossary")]).withColumnRenamed("project_id", "project").fillna("(all)", ["project"])
 
 
-@query("hits", sql=f"SELECT hit_id, project_id, rank, rrf, loaded_at FROM {HITS}")
+@query("hits", sql=f"SELECT hit_id, project_id, rank, CASE WHEN NOT isnan(rrf) THEN rrf END AS rrf, coalesce(isnan(rrf), false) AS rrf_is_nan, loaded_at FROM {HITS}")
 def ingest_latest(hits):
-    """The table that the upsert stream holds after all deliveries."""
-    return merge_latest(None, hits.select("hit_id", "project_id", "rank", "rrf", "loaded_at"), "hit_id", "loaded_at")
+    """The table that the upsert stream holds after all deliveries; the table keeps NaN, here a flag stands for it."""
+    rows = merge_latest(None, hits.select("hit_id", "project_id", "rank", "rrf", "loaded_at"), "hit_id", "loaded_at")
+    nan = F.coalesce(F.isnan("rrf"), F.lit(False))
+    return rows.select("hit_id", "project_id", "rank", F.when(~nan, F.col("rrf")).alias("rrf"), nan.alias("rrf_is_nan"), "loaded_at")
 
 
 @query("hits", sql=f"SELECT time_bucket(INTERVAL 1 HOUR, asked_at) AS hour, project_id, count(*) AS hits FROM {HITS} WHERE project_id IS NOT NULL AND asked_at IS NOT NULL GROUP BY ALL")
@@ -553,7 +551,7 @@ def hits_per_hour(hits):
     SELECT document_hash || ':project-development-objective-datasheet#0' AS section_id, project_id, -1 AS "order", length(pdo_text) AS chars FROM d
     ANTI JOIN (SELECT document_hash FROM s WHERE subtype = 'development_objective' AND (scope = 'main' OR phase_project_id = project_id)) x USING (document_hash)""")
 def pdo_sections(ops, secs):
-    s = graph.sections(secs)
+    s = graph.sections(secs, "document_hash", "project_id", "subtype", "scope", "phase_project_id")
     docs = s.select("document_hash", "project_id").distinct().join(graph.operations(ops).select("project_id", "pdo_text"), "project_id")
     return graph.pdo_sections(docs, s).select("section_id", "project_id", "order", "chars")
 
@@ -577,4 +575,236 @@ def layer_edges(ops, fin, orgs):
 def section_summary(secs):
     from opgraph.sources.sinks import summary
 
-    return summary(graph.sections(secs), "document_hash", ["subtype", "text"])
+    return summary(graph.sections(secs, "document_hash", "subtype", "text"), "document_hash", ["subtype", "text"])
+
+
+# ---- the whole graph ------------------------------------------------------------------------------------
+_PHASES = f"(SELECT project_id AS program_id, phase, phase_project_id AS project_id FROM {SECS} WHERE phase IS NOT NULL AND project_id IS NOT NULL)"
+_DEFINES = f"(SELECT split_part(chunk_id, ':', 1) AS d, regexp_extract(l, '^([^:]+): (.+)$', 1) AS acronym FROM (SELECT chunk_id, unnest(string_split(text, chr(10))) AS l FROM {CHUNKS} WHERE kind = 'glossary') WHERE regexp_matches(l, '^([^:]+): (.+)$') GROUP BY ALL)"
+_RISKS = f"(SELECT project_id, unnest([{{'c': 'Overall', 'r': overall_risk}}, {{'c': 'Environmental and Social', 'r': es_risk_rating}}]) AS x FROM {OPS})"
+_COUNTS = {
+    ("node", "Operation"): f"FROM {OPS}", ("node", "Program"): f"FROM (SELECT DISTINCT program_id FROM {_PHASES})", ("node", "Phase"): f"FROM (SELECT DISTINCT program_id, phase FROM {_PHASES})",
+    ("node", "Document"): f"FROM (SELECT DISTINCT document_hash FROM {SECS} WHERE document_hash IS NOT NULL)", ("node", "Organization"): "FROM organizations", ("node", "Location"): f"FROM (SELECT DISTINCT {_FOLD.format('country')} FROM {OPS} WHERE country IS NOT NULL)",
+    ("node", "Risk"): f"FROM (SELECT DISTINCT x.c FROM {_RISKS} WHERE x.r IS NOT NULL)", ("node", "Acronym"): f"FROM (SELECT DISTINCT acronym FROM {_DEFINES})", ("node", "Section"): f"FROM {SECS}",
+    ("node", "Table"): f"FROM (SELECT DISTINCT table_id FROM {CHUNKS} WHERE table_id IS NOT NULL)", ("node", "Chunk"): f"FROM {CHUNKS}",
+    ("edge", "DESCRIBES"): f"FROM (SELECT DISTINCT document_hash, project_id FROM {SECS} WHERE project_id IS NOT NULL)", ("edge", "LOCATED_IN"): f"FROM {OPS} WHERE country IS NOT NULL", ("edge", "FINANCES"): f"FROM {_FIN}",
+    ("edge", "HAS_RISK"): f"FROM {_RISKS} WHERE x.r IS NOT NULL", ("edge", "HAS_PHASE"): f"FROM (SELECT DISTINCT program_id, phase FROM {_PHASES})", ("edge", "HAS_OPERATION"): f"FROM (SELECT DISTINCT * FROM {_PHASES} WHERE project_id IS NOT NULL)",
+    ("edge", "HAS_SECTION"): f"FROM {SECS} a LEFT JOIN {SECS} p ON a.document_hash = p.document_hash AND a.parent = p.\"order\" WHERE p.section_id IS NULL", ("edge", "HAS_SUBSECTION"): f"FROM {SECS} a JOIN {SECS} p ON a.document_hash = p.document_hash AND a.parent = p.\"order\"",
+    ("edge", "HAS_TABLE"): f"FROM (SELECT DISTINCT section_id, table_id FROM {CHUNKS} WHERE table_id IS NOT NULL)", ("edge", "DEFINES"): f"FROM {_DEFINES}", ("edge", "HAS_CHUNK"): f"FROM {CHUNKS} WHERE section_id IS NOT NULL",
+    ("edge", "NEXT_CHUNK"): f"FROM (SELECT lead(chunk_id) OVER (PARTITION BY section_id ORDER BY \"order\", chunk_id) AS nxt FROM {CHUNKS}) WHERE nxt IS NOT NULL",
+}
+
+
+@query("operations", "sections", "chunks", "finances", "organizations", sql=" UNION ALL ".join(f"(SELECT '{k}' AS kind, '{n}' AS name, count(*) AS n {q})" for (k, n), q in _COUNTS.items()))
+def graph_counts(ops, secs, chunks, fin, orgs):
+    """Rows of all labels and edge types that the tables hold."""
+    return build.counts(*build.table_graph(ops, secs, chunks, fin, orgs))
+
+
+@query("operations", "sections", "chunks", "finances", "organizations", sql=f"""
+    SELECT 'FINANCES' AS type, CASE WHEN g.name_norm IS NULL THEN 'source' ELSE 'target' END AS missing, count(*) AS n FROM {_FIN} f LEFT JOIN organizations g USING (name_norm) LEFT JOIN {OPS} o ON o.project_id = f.project_id WHERE g.name_norm IS NULL OR o.project_id IS NULL GROUP BY 2
+    UNION ALL SELECT 'DESCRIBES', 'target', count(*) FROM (SELECT DISTINCT document_hash, project_id FROM {SECS} WHERE project_id IS NOT NULL) s ANTI JOIN {OPS} o USING (project_id) HAVING count(*) > 0
+    UNION ALL SELECT 'HAS_OPERATION', 'target', count(*) FROM (SELECT DISTINCT * FROM {_PHASES} WHERE project_id IS NOT NULL) s ANTI JOIN {OPS} o USING (project_id) HAVING count(*) > 0
+    UNION ALL SELECT 'HAS_CHUNK', 'source', count(*) FROM {CHUNKS} c ANTI JOIN {SECS} s USING (section_id) WHERE section_id IS NOT NULL HAVING count(*) > 0
+    UNION ALL SELECT 'HAS_TABLE', 'source', count(*) FROM (SELECT DISTINCT section_id, table_id FROM {CHUNKS} WHERE table_id IS NOT NULL) c ANTI JOIN {SECS} s USING (section_id) HAVING count(*) > 0""")
+def left_out_edges(ops, secs, chunks, fin, orgs):
+    """Edges that a load leaves out, as one of their ends does not exist."""
+    return build.resolved(*build.table_graph(ops, secs, chunks, fin, orgs))[1]
+
+
+@query("operations", "finances", "organizations", "sections", sql=f"""
+    WITH o AS (SELECT * FROM {OPS}), p AS (SELECT DISTINCT name_norm, project_id FROM {_FIN} WHERE project_id IS NOT NULL), h AS (SELECT DISTINCT * FROM {_PHASES})
+    SELECT 'LOCATED_IN' AS type, count(*) AS n FROM o WHERE country IS NOT NULL UNION ALL SELECT 'FINANCES', count(*) FROM p SEMI JOIN organizations USING (name_norm) SEMI JOIN o USING (project_id)
+    UNION ALL SELECT 'HAS_RISK', count(*) FROM o WHERE overall_risk = 'High' UNION ALL SELECT 'HAS_PHASE', count(*) FROM (SELECT DISTINCT program_id, phase FROM h) HAVING count(*) > 0
+    UNION ALL SELECT 'HAS_OPERATION', count(*) FROM h SEMI JOIN o USING (project_id) HAVING count(*) > 0""")
+def full_layer(ops, fin, orgs, secs):
+    """Edges of the operations layer with high risks, phases and programs."""
+    o = graph.operations(ops)
+    risks = o.where("overall_risk IS NOT NULL").select("project_id", F.lit("Overall").alias("category"), F.col("overall_risk").alias("rating"))
+    s = latest(secs, "section_id", ["project_id", "phase", "phase_project_id"], "loaded_at").where("phase IS NOT NULL AND project_id IS NOT NULL")
+    phases = s.select(F.col("project_id").alias("program_id"), "phase", F.col("phase_project_id").alias("project_id")).distinct()
+    _, edges = graph.operations_layer(o, graph.finances_edges(fin), orgs, risks, phases)
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sections", "chunks", sql=f"SELECT c.chunk_id FROM {CHUNKS} c SEMI JOIN (WITH s AS (SELECT * FROM {SECS}), k AS (SELECT document_hash, section_id FROM s WHERE text IS NOT NULL AND text <> '') SELECT section_id FROM s SEMI JOIN (SELECT DISTINCT document_hash FROM k) d USING (document_hash) ANTI JOIN k USING (document_hash, section_id)) g USING (section_id)")
+def stale_chunks(secs, chunks):
+    """Chunks that go with stale sections."""
+    s = latest(secs, "section_id", ["document_hash", "text"], "loaded_at")
+    gone = graph.stale(s.select("document_hash", "section_id"), s.where("text != ''").select("document_hash", "section_id"))
+    return graph.stale_parts(latest(chunks, "chunk_id", ["section_id"], "loaded_at"), gone).select("chunk_id")
+
+
+# ---- data sheets: forms written from the tables are read back ---------------------------------------------
+def _forms(ops: DataFrame) -> DataFrame:
+    """A form per operation, with the labels of its type and the values of its row."""
+    o = graph.operations(ops)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    day = lambda c: F.coalesce(F.date_format(c, "d-MMM-yyyy"), F.lit(""))
+    line = lambda *cells: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    instrument = F.when(F.col("instrument") == "IPF", "Investment Project Financing").when(F.col("instrument") == "PforR", "Program-for-Results Financing").when(F.col("instrument") == "DPF", "Development Policy Financing").otherwise("")
+    money = F.coalesce(F.format_number(F.col("total_financing_usd") / 1e6, 2), F.lit(""))
+    rows = F.array(
+        line("Operation ID", "Financing Instrument", "Environmental and Social Risk Classification"), line(F.col("project_id"), instrument, text("es_risk_rating")), line(""), line("Operation Name", "Country"), line(text("name"), text("country")),
+        line("Expected Approval Date", "Expected Closing Date"), line(day("approval_date"), day("closing_date")), line("Proposed Development Objective"), line(text("pdo_text")), line("Organizations"), line(F.concat(F.lit("Borrower: "), text("borrower"))),
+        line("Total Financing", money), line("1. Political and Governance", text("es_risk_rating")), line("Overall", text("overall_risk")))
+    return o.select(F.col("project_id").alias("doc_id"), rows.alias("rows"))
+
+
+_TIDY = "nullif(trim(regexp_replace({}, '\\s+', ' ', 'g')), '')"
+
+
+@query("operations", sql=f"""
+    SELECT project_id AS doc_id, project_id, {_TIDY.format('name')} AS name, {_TIDY.format('country')} AS country, CASE WHEN instrument IN ('IPF', 'PforR', 'DPF') THEN instrument END AS instrument, approval_date::VARCHAR AS approval_date, closing_date::VARCHAR AS closing_date,
+      CASE WHEN es_risk_rating IN ('Low', 'Moderate', 'Substantial', 'High') THEN es_risk_rating END AS es_risk_rating, CASE WHEN overall_risk IN ('Low', 'Moderate', 'Substantial', 'High') THEN overall_risk END AS overall_risk,
+      {_TIDY.format('pdo_text')} AS pdo_text, {_TIDY.format('borrower')} AS borrower, round(total_financing_usd / 1e6, 2) AS total_financing FROM {OPS}""")
+def sheet_facts(ops):
+    """Header and value cells, dates, ratings, objective, borrower and totals of forms."""
+    d = facts.parse_sheets(_forms(ops))
+    borrower = F.get(F.filter("agencies", lambda a: a["role"] == "borrower"), 0)["name"]
+    return d.select("doc_id", "project_id", "name", "country", "instrument", "approval_date", "closing_date", "es_risk_rating", "overall_risk", "pdo_text", borrower.alias("borrower"), F.round(F.try_element_at("totals", F.lit("total_financing")), 2).alias("total_financing"))
+
+
+@query("operations", sql=f"""
+    SELECT project_id AS doc_id, m.field, m.kind FROM (SELECT project_id, unnest([{{'field': 'name', 'kind': 'unparsed', 'v': name}}, {{'field': 'country', 'kind': 'unparsed', 'v': country}}, {{'field': 'approval_date', 'kind': 'unparsed', 'v': approval_date::VARCHAR}},
+      {{'field': 'overall_risk', 'kind': 'unparsed', 'v': overall_risk}}, {{'field': 'pdo_text', 'kind': 'unparsed', 'v': pdo_text}}, {{'field': 'practice_area_lead', 'kind': 'absent', 'v': NULL}}]) AS m FROM {OPS}) WHERE {_TIDY.format('m.v')} IS NULL""")
+def sheet_missing(ops):
+    """Fields without a value: unparsed where the form has their label, else absent."""
+    rows = facts.parse_sheets(_forms(ops)).select("doc_id", F.explode("missing").alias("m")).select("doc_id", "m.field", "m.kind")
+    return rows.where(F.col("field").isin("name", "country", "approval_date", "overall_risk", "pdo_text", "practice_area_lead"))
+
+
+_PAID = f"(SELECT project_id, category, coalesce(detail, category) AS detail, amount_usd FROM {_FIN} WHERE project_id IS NOT NULL AND amount_usd > 0 AND coalesce(detail, category) IS NOT NULL)"
+
+
+def _financing_forms(fin: DataFrame) -> DataFrame:
+    """Forms of the positive amounts of a project: a group line a project, then a line a part, by amount and label."""
+    rows = graph.finances_edges(fin).where("project_id IS NOT NULL AND amount_usd > 0 AND detail IS NOT NULL").select("project_id", (F.col("amount_usd") / 1e6).alias("m"), F.concat(F.lit("Part "), F.md5("detail")).alias("label"))
+    held = rows.groupBy("project_id").agg(F.round(F.sum("m"), 0).alias("total"), F.sort_array(F.collect_list(F.struct("m", "label"))).alias("parts"))
+    money = lambda c: F.format_number(c, 6)
+    parts = F.transform("parts", lambda p: F.array(p["label"], money(p["m"])))
+    return held.select(F.col("project_id").alias("doc_id"), F.concat(F.array(F.array(F.lit("International Development Association (IDA)"), money(F.col("total")))), parts).alias("rows"))
+
+
+@query("finances", sql=f"SELECT project_id AS doc_id, 'Part ' || md5(detail) AS label, 'IDA' AS source, amount_usd FROM {_PAID}")
+def sheet_financing(fin):
+    """Parts of a lender's group with their source."""
+    d = facts.parse_sheets(_financing_forms(fin)).select("doc_id", F.explode("financing").alias("f"))
+    return d.select("doc_id", "f.label", "f.source", "f.amount_usd")
+
+
+@query("finances", sql=f"SELECT project_id AS doc_id, abs(round(sum(amount_usd) / 1e6, 0) - sum(amount_usd) / 1e6) <= 0.01 AS balanced FROM {_PAID} GROUP BY project_id")
+def sheet_balance(fin):
+    """Whether the parts of a group add up to it, which states whole millions."""
+    d = facts.parse_sheets(_financing_forms(fin)).select("doc_id", F.explode("financing").alias("f"))
+    return d.groupBy("doc_id").agg(F.max("f.balanced").alias("balanced"))
+
+
+@query("finances", sql="SELECT name_norm, project_id, loaded_at, 'credit' AS kind, upper(orig_currency) AS currency, round(abs(orig_amount), 4) AS amount_millions, abs(amount_usd) / 1e6 AS usd_millions FROM finances WHERE orig_amount IS NOT NULL AND amount_usd IS NOT NULL AND length(orig_currency) = 3")
+def cover_lines(fin):
+    """Amounts proposed on covers, read back from the lines that state them."""
+    rows = fin.where("orig_amount IS NOT NULL AND amount_usd IS NOT NULL AND length(orig_currency) = 3")
+    line = F.concat(F.lit("PROPOSED CREDIT IN THE AMOUNT OF "), F.upper("orig_currency"), F.lit(" "), F.format_number(F.abs("orig_amount"), 6), F.lit(" MILLION (US$"), F.format_number(F.abs(F.col("amount_usd")) / 1e6, 6), F.lit(" MILLION EQUIVALENT) TO X"))
+    read = rows.select("name_norm", "project_id", "loaded_at", F.explode(T.cover_amounts(line)).alias("a"))
+    return read.select("name_norm", "project_id", "loaded_at", "a.kind", "a.currency", F.round("a.amount_millions", 4).alias("amount_millions"), "a.usd_millions")
+
+
+@query("operations", sql=f"SELECT project_id, approval_date AS date FROM {OPS} WHERE approval_date IS NOT NULL")
+def cover_dates(ops):
+    rows = graph.operations(ops).where("approval_date IS NOT NULL")
+    return rows.select("project_id", T.cover_date(F.concat(F.lit("Report No: X1 "), F.date_format("approval_date", "MMMM d, yyyy"), F.lit(" Region"))).alias("date"))
+
+
+_FIRST = "(SELECT * FROM operations WHERE project_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY loaded_at, name, country, status, region) = 1)"
+
+
+@query("operations", sql=f"""
+    WITH m AS (SELECT project_id, coalesce({_TIDY.format('a.name')}, {_TIDY.format('b.name')}) AS name, coalesce({_TIDY.format('a.country')}, {_TIDY.format('b.country')}) AS country, coalesce({_TIDY.format('a.status')}, {_TIDY.format('b.status')}) AS status, coalesce({_TIDY.format('a.region')}, {_TIDY.format('b.region')}) AS region FROM {OPS} a FULL JOIN {_FIRST} b USING (project_id))
+    SELECT *, CASE WHEN (name IS NOT NULL)::INT + (country IS NOT NULL)::INT + (status IS NOT NULL)::INT + (region IS NOT NULL)::INT >= 4 THEN 'ok' WHEN coalesce(name, country, status, region) IS NOT NULL THEN 'sparse' ELSE 'not_found' END AS api_status FROM m""")
+def merged_api(ops):
+    """Newer records filled from older ones, with their status."""
+    cols = ["name", "country", "status", "region"]
+    first = ops.where("project_id IS NOT NULL").groupBy("project_id").agg(F.min(F.struct("loaded_at", *cols)).alias("r")).select("project_id", *[F.col("r")[c].alias(c) for c in cols])
+    return facts.merge_api(graph.operations(ops).select("project_id", *cols), first, "project_id", cols, enough=4)
+
+
+# ---- more text functions ------------------------------------------------------------------------------------
+@query("organizations", sql="SELECT name_norm, CASE WHEN regexp_matches(name, '\\(([A-Z][A-Za-z0-9&-]+)\\)\\s*$') THEN regexp_extract(name, '\\(([A-Z][A-Za-z0-9&-]+)\\)\\s*$', 1) ELSE substr(name, 1, 30) END AS short FROM organizations WHERE name IS NOT NULL")
+def short_names(orgs):
+    return orgs.where("name IS NOT NULL").select("name_norm", T.short_org(F.col("name")).alias("short"))
+
+
+@query("sections", sql=f"SELECT section_id, regexp_replace(lower({_BARE}), '[^a-z0-9]+', '', 'g') AS key FROM {SECS} WHERE title IS NOT NULL")
+def title_keys(secs):
+    return latest(secs, "section_id", ["title"], "loaded_at").where("title IS NOT NULL").select("section_id", T.title_key(F.col("title")).alias("key"))
+
+
+@query("sections", sql=f"SELECT section_id, CASE WHEN regexp_matches(p, '^[0-9]+$') THEN p::INT WHEN p = 'I' THEN 1 WHEN p = 'II' THEN 2 WHEN p = 'III' THEN 3 WHEN p = 'IV' THEN 4 WHEN p = 'V' THEN 5 WHEN p = 'VI' THEN 6 WHEN p = 'VII' THEN 7 WHEN p = 'VIII' THEN 8 WHEN p = 'IX' THEN 9 WHEN p = 'X' THEN 10 END AS phase FROM (SELECT section_id, upper(regexp_extract(title || ' Phase ' || (phase % 11)::VARCHAR, '(?i)\\bphase\\s+([ivx]+|[0-9]+)\\b', 1)) AS p FROM {SECS} WHERE title IS NOT NULL AND phase IS NOT NULL)")
+def phase_numbers(secs):
+    rows = latest(secs, "section_id", ["title", "phase"], "loaded_at").where("title IS NOT NULL AND phase IS NOT NULL")
+    return rows.select("section_id", T.phase_number(F.concat("title", F.lit(" Phase "), (F.col("phase") % 11).cast("string"))).alias("phase"))
+
+
+@query("documents", sql="SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '… [' || (length(text) - 200) || ' more chars]' ELSE text END AS clipped FROM documents WHERE text IS NOT NULL")
+def clipped_texts(docs):
+    return docs.where("text IS NOT NULL").select("doc_id", T.clip(F.col("text"), 200).alias("clipped"))
+
+
+@query("documents", sql="SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) WHERE contains(l, '....') OR contains(l, '. . .') GROUP BY doc_id")
+def leader_lines(docs):
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.where(T.is_toc_line(F.col("l"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("chunks", sql=f"SELECT chunk_id, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '{T.EMAIL}') AND NOT regexp_matches(l, '{T.PHONE}') AND NOT regexp_matches(l, '{T.CONTACT_LABEL}'))) AS kept FROM {CHUNKS} WHERE text IS NOT NULL")
+def contact_rows(chunks):
+    """Lines of chunks, as rows of one cell, without contact rows."""
+    rows = latest_wide(chunks, "chunk_id", ["text"], "loaded_at").where("text IS NOT NULL")
+    return rows.select("chunk_id", F.size(T.redact_rows(F.transform(F.split("text", "\n"), lambda x: F.array(x)))).alias("kept"))
+
+
+@query("hits", sql=f"""
+    WITH h AS (SELECT question_id, hit_id, rank, coalesce(matched_by[1], 'none') AS tool FROM {HITS} WHERE question_id IS NOT NULL) SELECT question_id::VARCHAR AS file, tool, count(*) AS n, count(*) FILTER (rank % 3 = 0) AS errors FROM h GROUP BY ALL""")
+def trace_calls(hits):
+    """Calls of transcripts that are written from hits: one call and one result a hit, every third rank with an error."""
+    h = latest(hits, "hit_id", ["question_id", "rank", "matched_by"], "loaded_at").where("question_id IS NOT NULL")
+    tool, key = F.coalesce(F.get("matched_by", 0), F.lit("none")), F.col("hit_id").cast("string")
+    event = lambda kind, content: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(F.array(content).alias("content")).alias("message")))
+    use = event("assistant", F.struct(F.lit("tool_use").alias("type"), key.alias("id"), F.concat(F.lit("mcp__graph__"), tool).alias("name")))
+    res = event("user", F.struct(F.lit("tool_result").alias("type"), key.alias("tool_use_id"), F.when(F.col("rank") % 3 == 0, '{"error": "x"}').otherwise("[]").alias("content")))
+    lines = h.select(F.col("question_id").cast("string").alias("file"), F.posexplode(F.array(use, res)).alias("k", "value"), (F.col("hit_id") * 2).alias("line"))
+    calls = evaluate.tool_calls(evaluate.parse_events(lines))
+    return calls.groupBy("file", "tool").agg(F.count(F.lit(1)).alias("n"), F.count_if("error").alias("errors"))
+
+
+@query("chunks", sql=f"WITH c AS (SELECT chunk_id AS id, text FROM {CHUNKS}) SELECT * FROM ({_bm25_sql('c')})")
+def stored_postings(chunks):
+    """BM25 from postings that were stored once: the texts are not read by the question."""
+    where = f"{shared_dir(chunks.sparkSession)}/postings-{uuid.uuid4().hex}"
+    index.write_postings(latest_wide(chunks, "chunk_id", ["text"], "loaded_at"), "chunk_id", "text", where)
+    return index.bm25_stored(chunks.sparkSession, where, TERMS)
+
+
+@query("org_aliases", sql="SELECT variant AS acronym, canonical AS expansion FROM org_aliases WHERE regexp_matches(variant, '^[A-Z0-9][A-Za-z0-9&\\-]{1,15}$') AND length(regexp_replace(variant, '[^A-Z]', '', 'g')) >= 2")
+def alias_acronyms(aliases):
+    return retrieve.alias_acronyms(aliases).select("acronym", "expansion")
+
+
+@query("chunks", sql=f"SELECT width_bucket, count(*) AS n FROM (SELECT CASE WHEN tokens <= 0 THEN 0 ELSE least(10, ((tokens - 1) // 50 + 1)) END AS width_bucket FROM {CHUNKS} WHERE tokens IS NOT NULL) GROUP BY 1")
+def token_histogram(chunks):
+    """Chunks by size in steps of 50 tokens; 0 is empty, 10 is more than 450."""
+    rows = latest(chunks, "chunk_id", ["tokens"], "loaded_at").where("tokens IS NOT NULL")
+    return evaluate.size_histogram(rows, "tokens", 50, 10)
+
+
+@query("operations", "hits", sql=f"SELECT overall_risk, count(*) AS n, row_number() OVER (ORDER BY overall_risk DESC NULLS FIRST) AS place FROM {OPS} GROUP BY overall_risk")
+def ratings_nulls_first(ops, hits):
+    """Ratings in descending order with null first, as the graph language sorts."""
+    counted = graph.operations(ops).groupBy("overall_risk").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_first("overall_risk"))).cast("long"))
+
+
+@query("sections", "operations", sql=f"SELECT project_id FROM {OPS} o SEMI JOIN (SELECT DISTINCT project_id FROM {SECS}) s USING (project_id)")
+def corpus_operations(secs, ops):
+    """Operations that a document describes."""
+    return graph.operations(ops).join(latest(secs, "section_id", ["project_id"], "loaded_at").select("project_id"), "project_id", "left_semi").select("project_id")

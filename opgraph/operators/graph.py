@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ NODE_KEYS = {
     "Location": "name_norm", "Risk": "name", "Acronym": "name", "Section": "section_id", "Table": "table_id", "Chunk": "chunk_id",
 }
 # -----------------------------------------------------------------------------------------------------
+#: Queries that show the pattern language to a client.
+EXAMPLES = [
+    "MATCH (o:Operation)-[:LOCATED_IN]->(l:Location) RETURN l.name AS country, count(*) AS n ORDER BY n DESC",
+    "MATCH (g:Organization)-[f:FINANCES]->(o:Operation) WHERE o.project_id = $project RETURN g.name AS source, f.detail AS detail, f.amount_usd AS usd",
+    "MATCH (d:Document)-[:HAS_SECTION|HAS_SUBSECTION*]->(s:Section) WHERE s.type = 'risks' RETURN d.hash AS document, collect(s.title) AS titles",
+    "MATCH (d:Document)-[x:DEFINES]->(a:Acronym) WHERE a.name = $acronym RETURN x.expansion AS expansion, count(*) AS documents",
+]
 
 
 # ---- staging and upserts ------------------------------------------------------------------------------
@@ -55,12 +64,37 @@ def upsert_edges(current: DataFrame, staged: DataFrame, keys: list[str]) -> Data
     return old.join(new, keys, "full").select(*keys, *[F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in props])
 
 
+def coerce(df: DataFrame, dates: tuple[str, ...] = ()) -> DataFrame:
+    """Properties as a graph store takes them: ISO text of ``dates`` becomes dates (other text stays away as null), maps, records and lists of records become JSON."""
+    from pyspark.sql import types as T
+
+    nested = lambda t: isinstance(t, (T.MapType, T.StructType)) or (isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.MapType, T.StructType, T.ArrayType)))
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        out.append((F.try_to_date(c, "yyyy-MM-dd") if f.name in dates and isinstance(f.dataType, T.StringType) else F.to_json(c) if nested(f.dataType) else c).alias(f.name))
+    return df.select(*out)
+
+
 def resolve_ends(edges: DataFrame, left: DataFrame, left_key: str, right: DataFrame, right_key: str, source: str = "src", target: str = "dst") -> DataFrame:
     """Edges whose two ends exist."""
     a, b = left.select(F.col(left_key).alias(source)).distinct(), right.select(F.col(right_key).alias(target)).distinct()
     return edges.join(a, source, "left_semi").join(b, target, "left_semi")
 
 
+def dangling(edges: DataFrame, left: DataFrame, left_key: str, right: DataFrame, right_key: str, source: str = "src", target: str = "dst") -> DataFrame:
+    """``(missing, n)``: how many edges :func:`resolve_ends` leaves out, by the end that does not exist (source first)."""
+    a, b = left.select(F.col(left_key).alias(source), F.lit(True).alias("_a")).distinct(), right.select(F.col(right_key).alias(target), F.lit(True).alias("_b")).distinct()
+    both = edges.join(a, source, "left").join(b, target, "left")
+    which = F.when(F.col("_a").isNull(), "source").when(F.col("_b").isNull(), "target")
+    return both.select(which.alias("missing")).where("missing IS NOT NULL").groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stale_parts(parts: DataFrame, gone: DataFrame) -> DataFrame:
+    """Tables or chunks whose section is stale: they go with it."""
+    return parts.join(gone.select("section_id").distinct(), "section_id", "left_semi")
+
+
 def stale(sections: DataFrame, keep: DataFrame) -> DataFrame:
     """Sections of documents in ``keep`` that ``keep`` no longer holds; other documents are untouched."""
     loaded = keep.select("document_hash").distinct()
@@ -81,8 +115,9 @@ def operations(df: DataFrame) -> DataFrame:
     return latest(df, "project_id", [c for c in df.columns if c not in ("project_id", "loaded_at")], "loaded_at")
 
 
-def sections(df: DataFrame) -> DataFrame:
-    return latest(df, "section_id", [c for c in df.columns if c not in ("section_id", "loaded_at")], "loaded_at")
+def sections(df: DataFrame, *columns: str) -> DataFrame:
+    """Latest sections with the columns asked for (default: all); texts that no one asks for are neither read nor moved."""
+    return latest(df, "section_id", list(columns) or [c for c in df.columns if c not in ("section_id", "loaded_at")], "loaded_at")
 
 
 def locations(ops: DataFrame, fold=name_norm) -> DataFrame:
@@ -115,16 +150,17 @@ def section_ids(rows: DataFrame, slug: Column) -> DataFrame:
 
 
 # ---- traversal ------------------------------------------------------------------------------------------
-def descendants(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", depth: int = 16) -> DataFrame:
-    """``(root, node, hops)`` of everything reachable from ``roots`` in 0..depth steps, breadth first.
+def descendants(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", depth: int | None = None) -> DataFrame:
+    """``(root, node, hops)`` of everything reachable from ``roots`` in at most ``depth`` steps (default: any number), breadth first.
 
-    Each step joins only the last frontier; nodes already reached are dropped, so cycles end. Trees of
-    sections are a few levels deep, and the loop stops with the first empty frontier.
+    Each step joins only the last frontier; nodes already reached are dropped, so cycles end, and the loop stops with the
+    first empty frontier.
     """
     frontier = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
-    reached = frontier
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    for hop in range(1, depth + 1):
+    reached, hop = frontier, 0
+    steps = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "graph-steps")
+    while depth is None or hop < depth:
+        hop += 1
         ahead = frontier.join(steps, "node").select("root", F.col("next").alias("node"), F.lit(hop).alias("hops")).distinct()
         frontier = materialize(ahead.join(reached.select("root", "node"), ["root", "node"], "left_anti"), "graph-frontier")
         if frontier.isEmpty():
@@ -166,13 +202,31 @@ def vocabulary(ops: DataFrame, secs: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
-def graph_schema(tables: dict[str, DataFrame], ops: DataFrame, secs: DataFrame, chunks: DataFrame) -> dict:
-    """The introspection payload: labels, counts, properties and vocabularies (all bounded by the schema)."""
+#: Values of vocabularies that a schema payload holds at most; more raise, as they are no vocabulary.
+MOST_VALUES = 5000
+
+
+def edge_patterns(edges: dict[tuple[str, str, str], DataFrame]) -> DataFrame:
+    """``(source, type, target, n, properties)`` of every edge table, keyed by (source label, type, target label)."""
+    out = None
+    for (a, kind, b), df in edges.items():
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(a).alias("source"), F.lit(kind).alias("type"), F.lit(b).alias("target"), "n", F.lit(",".join(sorted(c for c in df.columns if c not in ("src", "dst")))).alias("properties"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def graph_schema(tables: dict[str, DataFrame], ops: DataFrame, secs: DataFrame, chunks: DataFrame, edges: dict[tuple[str, str, str], DataFrame] | None = None) -> dict:
+    """The introspection payload: labels, counts, properties, patterns, vocabularies, indexes and examples (all bounded by the schema)."""
     labels = {r.label: {"count": r.n, "properties": r.properties.split(",")} for r in schema_counts(tables).collect()}
+    rows = vocabulary(ops, secs, chunks).orderBy("vocab", "value").limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values of vocabularies")
     vocab: dict[str, list[str]] = {}
-    for r in vocabulary(ops, secs, chunks).orderBy("vocab", "value").limit(5000).collect():
+    for r in rows:
         vocab.setdefault(r.vocab, []).append(r.value)
-    return {"labels": labels, "vocabularies": vocab}
+    patterns = [{"pattern": f"(:{r.source})-[:{r.type}]->(:{r.target})", "count": r.n, "properties": [p for p in r.properties.split(",") if p]} for r in edge_patterns(edges).orderBy("source", "type", "target").collect()] if edges else []
+    indexes = [{"kind": "vector", "label": "Chunk", "property": "embedding", "similarity": "cosine"}, {"kind": "fulltext", "label": "Chunk", "property": "text"}]
+    return {"labels": labels, "patterns": patterns, "vocabularies": vocab, "indexes": indexes, "examples": EXAMPLES}
 
 
 # ---- derived nodes --------------------------------------------------------------------------------------
@@ -204,13 +258,29 @@ def property_keys(tables: dict[str, DataFrame], sample: int = 300) -> dict[str,
     return out
 
 
-def operations_layer(ops: DataFrame, fin: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the operations layer: operations, countries, financiers; LOCATED_IN and FINANCES."""
-    op = ops.select(F.concat(F.lit("o:"), "project_id").alias("id"), F.lit("Operation").alias("label"), "name")
-    land = ops.where("country IS NOT NULL").groupBy("country").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("l:"), "country").alias("id"), F.lit("Location").alias("label"), F.col("country").alias("name"))
+def operations_layer(ops: DataFrame, fin: DataFrame, orgs: DataFrame, risks: DataFrame | None = None, phases: DataFrame | None = None, all_risks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the operations layer: operations, countries, financiers, and, where given, risks, phases and programs.
+
+    ``risks``: project_id, category, rating (only High unless ``all_risks``). ``phases``: program_id, phase, project_id.
+    """
+    node = lambda prefix, key, label, name: [F.concat(F.lit(prefix), key).alias("id"), F.lit(label).alias("label"), name.alias("name")]
+    edge = lambda src, kind, dst: [src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst")]
+    at = lambda prefix, key: F.concat(F.lit(prefix), key)
+    col = F.col
+    land = ops.where("country IS NOT NULL")
     paid = fin.where("project_id IS NOT NULL").select("name_norm", "project_id").distinct()
-    org = orgs.join(paid.select("name_norm").distinct(), "name_norm", "left_semi").select(F.concat(F.lit("g:"), "name_norm").alias("id"), F.lit("Organization").alias("label"), "name")
-    located = ops.where("country IS NOT NULL").select(F.concat(F.lit("o:"), "project_id").alias("src"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("l:"), "country").alias("dst"))
     pays = paid.join(orgs.select("name_norm"), "name_norm", "left_semi").join(ops.select("project_id"), "project_id", "left_semi")
-    finances = pays.select(F.concat(F.lit("g:"), "name_norm").alias("src"), F.lit("FINANCES").alias("type"), F.concat(F.lit("o:"), "project_id").alias("dst"))
-    return op.unionByName(land).unionByName(org), located.unionByName(finances)
+    nodes = [
+        ops.select(*node("o:", col("project_id"), "Operation", col("name"))), land.select("country").distinct().select(*node("l:", col("country"), "Location", col("country"))),
+        orgs.join(paid.select("name_norm").distinct(), "name_norm", "left_semi").select(*node("g:", col("name_norm"), "Organization", col("name")))]
+    edges = [land.select(*edge(at("o:", col("project_id")), "LOCATED_IN", at("l:", col("country")))), pays.select(*edge(at("g:", col("name_norm")), "FINANCES", at("o:", col("project_id"))))]
+    if risks is not None:
+        shown = risks.join(ops.select("project_id"), "project_id", "left_semi")
+        shown = shown if all_risks else shown.where("rating = 'High'")
+        nodes.append(shown.select("category").distinct().select(*node("r:", col("category"), "Risk", col("category"))))
+        edges.append(shown.select("project_id", "category").distinct().select(*edge(at("o:", col("project_id")), "HAS_RISK", at("r:", col("category")))))
+    if phases is not None:
+        key = F.concat(col("program_id"), F.lit(":phase:"), col("phase").cast("string"))
+        nodes += [phases.select("program_id").distinct().select(*node("m:", col("program_id"), "Program", col("program_id"))), phases.select(*node("p:", key, "Phase", key)).distinct()]
+        edges += [phases.select(*edge(at("m:", col("program_id")), "HAS_PHASE", at("p:", key))).distinct(), phases.join(ops.select("project_id"), "project_id", "left_semi").select(*edge(at("p:", key), "HAS_OPERATION", at("o:", col("project_id")))).distinct()]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

@@ -110,7 +110,7 @@ def api_records(ids: DataFrame, cache: DataFrame, fetch: Callable[[str], dict |
             for key in pdf["project_id"]:
                 try:
                     got = fetch(key)
-                    rows.append((key, json.dumps({k: v for k, v in got.items() if not k.lower().startswith("team")}) if got else None, "fetched" if got else "not_found"))
+                    rows.append((key, json.dumps({k: v for k, v in got.items() if not (k.lower().startswith("team") or "email" in k.lower())}) if got else None, "fetched" if got else "not_found"))
                 except Exception:
                     rows.append((key, None, "error"))
             yield pdf.assign(payload=[r[1] for r in rows], how=[r[2] for r in rows])[["project_id", "payload", "how"]]
@@ -131,13 +131,28 @@ def write_version(df: DataFrame, root: str) -> str:
     out = fs.create(temporary, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(temporary, pointer)
+    # one rename that replaces the pointer: no reader finds it missing
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temporary), fs.makeQualified(pointer), overwrite)
     return version
 
 
-def read_version(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current version of a table, or None if it has none."""
+def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the ``keep`` newest versions of a table (never the current one); returns how many went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    current = _pointed(spark, root)
+    found = sorted(((s.getModificationTime(), s.getPath()) for s in fs.listStatus(base) if s.isDirectory() and s.getPath().getName().startswith("v-")), key=lambda x: -x[0])
+    old = [p for _, p in found[keep:] if p.getName() != (current or "").rsplit("/", 1)[-1]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+def _pointed(spark: SparkSession, root: str) -> str | None:
+    """The directory that the pointer names."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_current")
     fs = pointer.getFileSystem(conf)
@@ -146,11 +161,17 @@ def read_version(spark: SparkSession, root: str) -> DataFrame | None:
     # names that start with an underscore are hidden from file sources, so the pointer is read as a stream
     stream = fs.open(pointer)
     try:
-        return spark.read.parquet(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
     finally:
         stream.close()
 
 
+def read_version(spark: SparkSession, root: str) -> DataFrame | None:
+    """The current version of a table, or None if it has none."""
+    version = _pointed(spark, root)
+    return spark.read.parquet(version) if version else None
+
+
 def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000) -> int:
     """A self-contained HTML list of a small graph layer; refuses more than ``most`` nodes. Returns the nodes written."""
     from html import escape
@@ -158,7 +179,9 @@ def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000)
     rows = nodes.select("id", "label", "name").orderBy("label", "id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} nodes: render a smaller layer")
-    links = edges.select("src", "type", "dst").orderBy("type", "src", "dst").limit(10 * most).collect()
+    links = edges.select("src", "type", "dst").orderBy("type", "src", "dst").limit(10 * most + 1).collect()
+    if len(links) > 10 * most:
+        raise ValueError(f"more than {10 * most} edges: render a smaller layer")
     body = "".join(f"<li><b>{escape(r.label)}</b> {escape(r.name or r.id)}</li>" for r in rows)
     lines = "".join(f"<li>{escape(r.src)} —{escape(r.type)}→ {escape(r.dst)}</li>" for r in links)
     Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>graph</title><ul>{body}</ul><ul>{lines}</ul>")
