@@ -6,7 +6,7 @@ words repaired, known nicknames (the alias table) replaced, word order ignored.
 other names write out. Of a name's forms the one is kept that is written out for the same place and country; among
 those, and without any, the least rare rewriting: the rarity of a reading is how seldom its kind is written out among the
 kinds that the same words may mean. Misspelt proper parts meet by equi-joining their single-character
-deletions, reordered ones by their sorted words. Forms point to the most frequent form they can be rewritten to, and pointers
+deletions, reordered ones by their sorted words, and shortened ones meet the beginnings of longer ones where only one fits. Forms point to the most frequent form they can be rewritten to, and pointers
 are followed to the root. No step compares all rows of a block.
 """
 
@@ -52,6 +52,8 @@ REWRITE = {
 LEXICON = frozenset(KIND_WORDS)
 #: Kinds written out with at least this many proper parts (by their first letters) are established; other names are bodies of their own.
 ESTABLISHED = 3
+#: Least letters of a shortened proper part, and of what was cut off it.
+SHORTENED, REST = 5, 3
 #: Kinds and acronyms that are read on the driver, at most; they grow with the language of names, not with their number. More raise.
 MOST_KINDS = 200_000
 
@@ -399,9 +401,24 @@ def _roots(forms: DataFrame) -> DataFrame:
     up = nodes.select(F.col("node").alias("an")).join(abroad, "an", "left").join(home.withColumnRenamed("up", "up2"), "an", "left")
     up = materialize(up.select(F.col("an").alias("node"), F.coalesce("up", "up2", "an").alias("root")), "names-up")
     up = _follow(up, "names-up")
+    up = _follow(materialize(_lengthened(nodes, up), "names-long"), "names-long")
     return forms.withColumn("node", F.concat_ws("\u0001", "kind", "place", "country")).join(up, "node").select("name_norm", F.col("root").alias("entity"))
 
 
+def _lengthened(nodes: DataFrame, up: DataFrame) -> DataFrame:
+    """``(node, root)`` where roots whose proper part is the beginning of a longer one point to that.
+
+    Cutting a name short is the rarest rewriting to undo: it counts only if exactly one root of the kind and country (of the kind, for
+    names without a country) begins so. Beginnings meet shortened parts in an equi-join.
+    """
+    roots = up.select(F.col("root").alias("node")).distinct().join(nodes, "node").where(F.startswith("kind", F.lit("k")))
+    longer = roots.where(F.length("place") >= SHORTENED + REST).select("kind", F.col("country").alias("lc"), F.col("node").alias("long"), F.explode(F.transform(F.sequence(F.lit(SHORTENED), F.length("place") - REST), lambda n: F.substring(F.col("place"), F.lit(1), n))).alias("place"))
+    at_home = roots.where("country != ''").join(longer.withColumn("country", F.col("lc")), ["kind", "place", "country"]).select("node", "long")
+    anywhere = roots.where("country = ''").join(longer, ["kind", "place"]).select("node", "long")
+    only = at_home.unionByName(anywhere).groupBy("node").agg(F.min("long").alias("long"), F.count_distinct("long").alias("n")).where("n = 1").select(F.col("node").alias("root"), "long")
+    return up.join(only, "root", "left").select("node", F.coalesce("long", "root").alias("root"))
+
+
 def variant_pairs(organizations: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(name_norm_a, name_norm_b)``, a < b: all pairs of rows that name the same organization."""
     linked = materialize(link_names(organizations, aliases), "names-linked")
