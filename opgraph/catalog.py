@@ -390,6 +390,31 @@ _QUERIES["pattern_query"] = pattern_query
 _SQL["pattern_query"] = f"SELECT g.name_norm, count(*) AS n FROM organizations g JOIN {_FIN} f ON f.name_norm = g.name_norm JOIN {OPS} o ON o.project_id = f.project_id WHERE f.amount_usd > 0 AND o.status = 'Active' GROUP BY g.name_norm"
 
 
+def _pattern(name: str, text: str, sql: str) -> None:
+    """Register a pattern query over the graph's views."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(spark, sf_dir)
+        return spark.sql(to_sql(text))
+
+    _QUERIES[name], _SQL[name] = run, sql
+
+
+_pattern("pattern_risks", "MATCH (o:Operation)-[r:HAS_RISK]->(k:Risk) WHERE r.rating = 'High' RETURN k.name AS risk, count(*) AS n, min(o.project_id + ' ' + coalesce(o.country, '?')) AS first ORDER BY risk", f"""
+    SELECT risk, count(*) AS n, min(project_id || ' ' || coalesce(country, '?')) AS first FROM (SELECT 'Overall' AS risk, * FROM {OPS} WHERE overall_risk = 'High' UNION ALL SELECT 'Environmental and Social', * FROM {OPS} WHERE es_risk_rating = 'High') GROUP BY risk""")
+_pattern("pattern_with", "MATCH (g:Organization)-[:FINANCES]->(o:Operation) WHERE NOT coalesce(g.is_category, false) WITH g, collect(DISTINCT o.project_id) AS ops WHERE size(ops) > 1 RETURN g.name_norm AS name_norm, size(ops) AS n ORDER BY n DESC", f"""
+    SELECT name_norm, count(DISTINCT f.project_id) AS n FROM {_FIN} f JOIN organizations g USING (name_norm) JOIN {OPS} o USING (project_id) WHERE NOT coalesce(g.is_category, false) GROUP BY name_norm HAVING n > 1""")
+_pattern("pattern_tree", "MATCH (d:Document)-[:HAS_SECTION]->(top:Section) OPTIONAL MATCH (top)-[:HAS_SUBSECTION*]->(sub:Section) WHERE sub.type <> 'other' RETURN top.section_id AS top, count(sub.section_id) AS n ORDER BY top", f"""
+    WITH RECURSIVE s AS (SELECT * FROM {SECS}), e AS (SELECT p.section_id AS src, a.section_id AS dst FROM s a JOIN s p ON a.document_hash = p.document_hash AND a.parent = p."order"),
+    t AS (SELECT section_id AS top FROM s WHERE document_hash IS NOT NULL AND section_id NOT IN (SELECT dst FROM e)), w(top, node) AS (SELECT top, dst FROM t JOIN e ON e.src = t.top UNION SELECT top, dst FROM w JOIN e ON e.src = w.node)
+    SELECT t.top, count(s.section_id) AS n FROM t LEFT JOIN w USING (top) LEFT JOIN s ON s.section_id = w.node AND s.type <> 'other' GROUP BY t.top""")
+_pattern("pattern_optional", "MATCH (o:Operation) OPTIONAL MATCH (o)-[:LOCATED_IN]->(l) RETURN o.project_id AS pid, head(collect(l.name_norm)) AS place, head(labels(o)) AS label, size(keys(o)) > 1 AS full", f"SELECT project_id AS pid, CASE WHEN country IS NOT NULL THEN {_FOLD.format('country')} END AS place, 'Operation' AS label, true AS full FROM {OPS}")
+_pattern("pattern_lists", "MATCH (o:Operation) WHERE size(o.modalities) > 0 WITH o.project_id AS pid, [m IN o.modalities WHERE size(split(m, ' ')) < 9 | toUpper(left(m, 3))] AS short UNWIND short[0..2] AS m RETURN pid, m, reduce(n = 0, x IN short | n + 1) AS n", f"""
+    SELECT pid, unnest(short[1:2]) AS m, len(short) AS n FROM (SELECT project_id AS pid, list_transform(list_filter(modalities, lambda m: len(string_split(m, ' ')) < 9), lambda m: upper(m[1:3])) AS short FROM {OPS} WHERE len(modalities) > 0)""")
+_pattern("pattern_walk", "MATCH (s:Section {subtype: 'key_risks'})<-[:HAS_SECTION|HAS_SUBSECTION*]-(d:Document)-[:DESCRIBES]->(o:Operation) MATCH (s)-[:HAS_CHUNK]->(c:Chunk) WHERE c.kind = 'text' RETURN DISTINCT o.project_id AS pid, c.chunk_id AS chunk, c.`order` AS place", f"""
+    SELECT DISTINCT o.project_id AS pid, c.chunk_id AS chunk, c."order" AS place FROM {SECS} s JOIN (SELECT DISTINCT document_hash, project_id FROM {SECS}) d USING (document_hash) JOIN {OPS} o ON o.project_id = d.project_id JOIN {CHUNKS} c USING (section_id) WHERE s.subtype = 'key_risks' AND c.kind = 'text'""")
+
+
 def readonly_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the guard on reads and writes; nothing of them runs."""
     statements = ["SELECT 1 AS x", "DROP TABLE t", "CREATE VIEW v AS SELECT 1", "INSERT INTO t VALUES (1)", "EXECUTE IMMEDIATE 'drop table t'", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM nowhere"]

@@ -81,6 +81,14 @@ def test_patterns(spark):
     for bad in ("MATCH (a)-[:X]->(b) RETURN a", "MATCH (a:Nope) RETURN a", "MATCH (o:Operation)", "MATCH (o:Operation)--(p:Operation) RETURN o"):
         with pytest.raises(ValueError):
             to_sql(bad)
+    rows = lambda q, **p: [tuple(r.values()) for r in graph_query(spark, q, p or None)["rows"]]
+    assert rows("MATCH (g:Organization)-[f:FINANCES]->(o:Operation) WITH g, collect(DISTINCT o.project_id) AS ops, sum(f.amount_usd) AS usd WHERE size(ops) > 1 RETURN g.name, size(ops), usd") == [("IDA", 2, 11)]
+    assert rows("MATCH (o:Operation) OPTIONAL MATCH (o)<-[f:FINANCES]-(g:Organization {name: 'X'}) WHERE f.amount_usd > 6 RETURN o.project_id AS p, count(g) AS n ORDER BY p") == [("P1", 1), ("P2", 0)]
+    assert rows("MATCH (d:Document)-[:HAS_SECTION]->(top:Section) OPTIONAL MATCH (top)-[:HAS_SUBSECTION*]->(sub) RETURN top.title, count(sub.title) AS n") == [("A", 2)]
+    assert rows("UNWIND [1, 2, 3] AS x RETURN x, [y IN range(1, x) WHERE y > 1 | y * 2] AS l, reduce(s = 0, y IN [1, 2] | s + y) AS t, [7, 8, 9][1..3] AS c, [7, 8][0] AS f ORDER BY x DESC LIMIT 1") == [(3, [4, 6], 3, [8, 9], 7)]
+    assert rows("MATCH (o:Operation {project_id: $p}) RETURN labels(o), size(keys(o)), properties(o), o.project_id + ':' + toLower(o.country) AS t, CASE WHEN o.country = 'A' THEN 1 ELSE 2 END AS c", p="P1") == [(["Operation"], 2, {"project_id": "P1", "country": "A"}, "P1:a", 1)]
+    assert rows("MATCH (g:Organization)-[f:FINANCES]->(o:Operation) WHERE g.name STARTS WITH 'I' AND o.country IN ['B'] AND NOT g.name =~ 'X.*' RETURN type(f), substring(g.name, 1, 2)") == [("FINANCES", "DA")]
+    assert rows("UNWIND ['P1', 'P2'] AS p MATCH (o:Operation {project_id: p}) RETURN p, o.country ORDER BY o.country DESC SKIP 1") == [("P1", "A")]
 
 
 def test_json():
