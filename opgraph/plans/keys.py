@@ -11,8 +11,8 @@ from opgraph.plans.materialize import materialize
 def latest(df: DataFrame, key: str, columns: list[str], version: str | None) -> DataFrame:
     """One row per ``key``: that with the greatest ``version``, ties broken by the values themselves.
 
-    A hash aggregate with map-side combine, so a key that was delivered a million times reaches the
-    shuffle once per input task. Null keys form no record and are dropped; a null version is oldest.
+    One aggregate with map-side combine (a sort aggregate, as rows with texts have no fixed width), so a key that was delivered a
+    million times reaches the shuffle once per input task. Null keys form no record and are dropped; a null version is oldest.
     """
     rest = F.struct(*([F.col(version)] if version else []), *[F.col(c) for c in columns])
     picked = df.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.max(rest).alias("_r"))

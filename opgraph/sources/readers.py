@@ -121,21 +121,43 @@ def api_records(ids: DataFrame, cache: DataFrame, fetch: Callable[[str], dict |
 
 def write_version(df: DataFrame, root: str) -> str:
     """Write a new version directory of a table, then switch the pointer file; readers of the old one are not disturbed."""
-    spark = df.sparkSession
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
+    _point(df.sparkSession, root, [version])
+    return version
+
+
+def write_buckets(df: DataFrame, root: str, bucket: str, keep: dict[int, str]) -> None:
+    """Write the rows of some buckets as new directories and point to them and to those of ``keep``: other buckets are not rewritten."""
+    spark = df.sparkSession
+    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.partitionBy(bucket).parquet(version)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(version)
+    fresh = {int(f.getPath().getName().split("=")[1]): f"{version}/{f.getPath().getName()}" for f in base.getFileSystem(conf).listStatus(base) if f.getPath().getName().startswith(f"{bucket}=")}
+    _point(spark, root, [p for _, p in sorted({**keep, **fresh}.items())])
+
+
+def bucket_paths(spark: SparkSession, root: str) -> dict[int, str] | None:
+    """Directory of each bucket of a table; None if the table is not stored by buckets, and empty if there is none."""
+    paths = _pointed(spark, root)
+    if not all("=" in p.rsplit("/", 1)[-1] for p in paths):
+        return None
+    return {int(p.rsplit("=", 1)[-1]): p for p in paths}
+
+
+def _point(spark: SparkSession, root: str, paths: list[str]) -> None:
+    """Switch the pointer of a table to ``paths`` by one rename that replaces it: no reader finds it missing or half written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(conf)
     temporary, pointer = path(f"{root}/_current.{uuid.uuid4().hex}"), path(f"{root}/_current")
     out = fs.create(temporary, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray("\n".join(paths).encode()))
     out.close()
-    # one rename that replaces the pointer: no reader finds it missing
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temporary), fs.makeQualified(pointer), overwrite)
-    return version
 
 
 def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
@@ -145,31 +167,31 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
     fs = base.getFileSystem(conf)
     current = _pointed(spark, root)
     found = sorted(((s.getModificationTime(), s.getPath()) for s in fs.listStatus(base) if s.isDirectory() and s.getPath().getName().startswith("v-")), key=lambda x: -x[0])
-    old = [p for _, p in found[keep:] if p.getName() != (current or "").rsplit("/", 1)[-1]]
+    old = [p for _, p in found[keep:] if not any(f"/{p.getName()}" in c for c in current)]
     for p in old:
         fs.delete(p, True)
     return len(old)
 
 
-def _pointed(spark: SparkSession, root: str) -> str | None:
-    """The directory that the pointer names."""
+def _pointed(spark: SparkSession, root: str) -> list[str]:
+    """The directories that the pointer names; none without one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_current")
     fs = pointer.getFileSystem(conf)
     if not fs.exists(pointer):
-        return None
+        return []
     # names that start with an underscore are hidden from file sources, so the pointer is read as a stream
     stream = fs.open(pointer)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().split("\n")
     finally:
         stream.close()
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame | None:
     """The current version of a table, or None if it has none."""
-    version = _pointed(spark, root)
-    return spark.read.parquet(version) if version else None
+    paths = _pointed(spark, root)
+    return spark.read.parquet(*paths) if paths else None
 
 
 def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000) -> int:

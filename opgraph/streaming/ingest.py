@@ -1,7 +1,8 @@
 """Incremental ingest: a stream of delivered rows keeps versioned tables up to date by micro-batch upserts.
 
 ``foreachBatch`` gives at-least-once batches; the upsert is idempotent (a batch that is seen again changes nothing), so the
-tables end the same whatever is repeated. The tables are versioned directories with a pointer that is switched last.
+tables end the same whatever is repeated. A table lies in buckets of its key; a batch rewrites the buckets that it touches, as new
+directories, and a pointer to all directories is switched last.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opgraph.plans.keys import latest
-from opgraph.sources.readers import read_version, write_version
+from opgraph.plans.keys import bucket_of, latest
+from opgraph.sources.readers import bucket_paths, prune_versions, read_version, write_buckets
 
 
 def merge_latest(current: DataFrame | None, batch: DataFrame, key: str, version: str) -> DataFrame:
@@ -22,14 +23,39 @@ def merge_latest(current: DataFrame | None, batch: DataFrame, key: str, version:
     return kept.select(*batch.columns)
 
 
-def ingest(source: DataFrame, root: str, key: str, version: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+#: Buckets of a table that a stream keeps; its pointer has a line for each.
+BUCKETS = 64
+
+
+def upsert(batch: DataFrame, root: str, key: str, version: str, buckets: int = BUCKETS) -> int:
+    """Merge a batch into the table at ``root``; returns how many buckets were rewritten. Null keys form no row.
+
+    The number of buckets is that of the first write; a table that is not in buckets is rewritten once.
+    """
+    spark = batch.sparkSession
+    paths = bucket_paths(spark, root)
+    rows = batch.where(F.col(key).isNotNull()).withColumn("_bucket", bucket_of(F.col(key), buckets))
+    touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return 0
+    if paths is None:
+        current, keep = read_version(spark, root), {}
+    else:
+        mine = [paths[b] for b in touched if b in paths]
+        current, keep = (spark.read.parquet(*mine) if mine else None), {b: p for b, p in paths.items() if b not in touched}
+    merged = merge_latest(current, batch, key, version).withColumn("_bucket", bucket_of(F.col(key), buckets))
+    write_buckets(merged.repartition("_bucket", F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(8))), root, "_bucket", keep)
+    prune_versions(spark, root, keep=2)
+    return len(touched)
+
+
+def ingest(source: DataFrame, root: str, key: str, version: str, checkpoint: str, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Start (or continue) the upsert stream of ``source`` into the table at ``root``."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            write_version(merge_latest(read_version(batch.sparkSession, root), batch, key, version), root)
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert(batch, root, key, version, buckets)
 
-    writer = source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 

@@ -194,3 +194,19 @@ def test_sheet_rows_and_cover(spark):
     rows = spark.createDataFrame([("d", 1, 0, "Report No: PAD123"), ("d", 1, 1, "PROPOSED CREDIT IN THE AMOUNT OF EUR 350 MILLION (US$411 MILLION EQUIVALENT) TO X ON May 3, 2025")], "doc_id string, page int, row_no int, text string")
     r = facts.cover_facts(rows).first()
     assert r.report_number == "PAD123" and str(r.date) == "2025-05-03" and (r.amounts[0].currency, r.amounts[0].usd_millions) == ("EUR", 411.0)
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    from opgraph.sources.readers import bucket_paths, read_version
+    from opgraph.streaming.ingest import upsert
+
+    root = f"file://{tmp_path}/t"
+    df = lambda rows: spark.createDataFrame(rows, "k long, v string, t int")
+    assert upsert(df([]), root, "k", "t", 8) == 0 and read_version(spark, root) is None
+    upsert(df([(i, "a", 1) for i in range(100)] + [(None, "n", 1)]), root, "k", "t", 8)
+    before = bucket_paths(spark, root)
+    assert len(before) == 8 and upsert(df([(7, "b", 2), (8, "old", 0)]), root, "k", "t", 8) <= 2
+    after = bucket_paths(spark, root)
+    assert sum(before[b] == after[b] for b in before) >= 6
+    got = {r.k: r.v for r in read_version(spark, root).collect()}
+    assert len(got) == 100 and got[7] == "b" and got[8] == "a"
