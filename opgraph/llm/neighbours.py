@@ -140,8 +140,8 @@ def _block_best(k: int, floor: float | None, scored: bool = False):
             c = np.stack(cands.vec.to_numpy()).astype(np.float64)
             c /= np.linalg.norm(c, axis=1, keepdims=True)
             ids = cands.vid.to_numpy()
-            for at in range(0, len(queries), 512):
-                part = queries.iloc[at : at + 512]
+            for at in range(0, len(queries), 256):
+                part = queries.iloc[at : at + 256]
                 x = np.stack(part.vec.to_numpy()).astype(np.float64)
                 s = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T, ROUND)
                 s[part.vid.to_numpy()[:, None] == ids[None, :]] = -2
@@ -240,7 +240,7 @@ def _with_rest(near: DataFrame, reps: DataFrame, k: int, dim: int, block: int) -
     """``near`` with the k best of every vector for which the index holds fewer, found in blocks against all vectors."""
     full = near.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("a")
     short = reps.join(full, reps["vid"] == full["a"], "left_anti")
-    exact = exact_neighbours(short.select("vid", "vec"), reps.select("vid", "vec"), "vid", "vec", k, dim, 4 * block)
+    exact = exact_neighbours(short.select("vid", "vec"), reps.select("vid", "vec"), "vid", "vec", k, dim, 8 * block)
     rest = exact.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.col("similarity").alias("s"))
     return near.join(full, "a", "left_semi").unionByName(rest)
 
