@@ -833,3 +833,23 @@ def ratings_nulls_first(ops, hits):
 def corpus_operations(secs, ops):
     """Operations that a document describes."""
     return graph.operations(ops).join(latest(secs, "section_id", ["project_id"], "loaded_at").select("project_id"), "project_id", "left_semi").select("project_id")
+
+
+@query("chunks", sql=f"SELECT kind, min(tokens) AS p0, max(tokens) AS p100, count(*) FILTER (coalesce(text, '') = '') AS empty FROM {CHUNKS} GROUP BY kind")
+def token_ends(chunks):
+    rows = latest_wide(chunks, "chunk_id", ["kind", "tokens", "text"], "loaded_at")
+    return rows.groupBy("kind").agg(F.min("tokens").alias("p0"), F.max("tokens").alias("p100"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"))
+
+
+@query("operations", sql=f"""
+    WITH a AS (SELECT project_id, name, country, status FROM operations WHERE loaded_at < {_EARLY} AND project_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY loaded_at DESC) = 1), b AS (SELECT project_id, name, country, status FROM {OPS})
+    SELECT CASE WHEN a.project_id IS NULL THEN 'created' WHEN b.project_id IS NULL THEN 'gone' WHEN a.name IS NOT DISTINCT FROM b.name AND a.country IS NOT DISTINCT FROM b.country AND a.status IS NOT DISTINCT FROM b.status THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.project_id = b.project_id GROUP BY 1""")
+def node_changes(ops):
+    """What the later deliveries changed: counters of a load."""
+    cut, cols = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), ["name", "country", "status"]
+    return graph.changes(latest(ops.where(F.col("loaded_at") < cut), "project_id", cols, "loaded_at"), latest(ops, "project_id", cols, "loaded_at"), "project_id")
+
+
+@query("operations", sql=f"SELECT project_id, CASE upper(substr(es_risk_rating, 1, 1)) WHEN 'L' THEN 'Low' WHEN 'M' THEN 'Moderate' WHEN 'S' THEN 'Substantial' WHEN 'H' THEN 'High' END AS rating FROM {OPS}")
+def rating_codes(ops):
+    return graph.operations(ops).select("project_id", facts.rating_of(F.substring("es_risk_rating", 1, 1)).alias("rating"))

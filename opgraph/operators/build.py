@@ -38,6 +38,12 @@ def organizations(records: DataFrame, world: DataFrame) -> DataFrame:
     return rows.select("doc_id", "role", "source", org_key(F.col("norm"), F.col("country_iso2"), F.col("global")).alias("key"), "name", F.when(~F.col("global"), F.col("country_iso2")).alias("country_iso2"), F.col("source").isNull().alias("is_category"), "part")
 
 
+def _original(records: DataFrame) -> list[Column]:
+    """Currency and amount before conversion, where the records carry them."""
+    names = records.schema["financing"].dataType.elementType.names
+    return [F.col("part.orig_currency").alias("orig_currency"), usd(F.col("part.orig_millions")).alias("orig_amount"), F.col("part.orig_from").alias("orig_from")] if "orig_currency" in names else []
+
+
 def document_graph(records: DataFrame, secs: DataFrame, tabs: DataFrame, pairs: DataFrame, world: DataFrame, covers: DataFrame | None = None) -> tuple[Tables, Edges]:
     """(nodes by label, edges by (source label, type, target label)) of extracted documents.
 
@@ -84,7 +90,7 @@ def document_graph(records: DataFrame, secs: DataFrame, tabs: DataFrame, pairs:
     edges = {
         ("Document", "DESCRIBES", "Operation"): _once(_edge(d, F.col("doc_id"), F.col("project_id"))),
         ("Operation", "LOCATED_IN", "Location"): _once(_edge(d, F.col("project_id"), name_norm(F.col("country_canonical")), where=F.col("country_canonical").isNotNull())),
-        ("Organization", "FINANCES", "Operation"): graph.stage_edges(_edge(fin, F.col("key"), F.col("project_id"), held, F.col("part.amount_usd").alias("amount_usd"), F.col("part.category").alias("category"), F.col("part.side").alias("side"), F.col("part.group").alias("group"), F.col("doc_id").alias("_seq")), ["src", "dst", "detail"], "_seq"),
+        ("Organization", "FINANCES", "Operation"): graph.stage_edges(_edge(fin, F.col("key"), F.col("project_id"), held, F.col("part.amount_usd").alias("amount_usd"), *_original(d), F.col("part.category").alias("category"), F.col("part.side").alias("side"), F.col("part.group").alias("group"), F.col("doc_id").alias("_seq")), ["src", "dst", "detail"], "_seq"),
         ("Organization", "IMPLEMENTS", "Operation"): _once(_edge(orgs.where("role = 'implements'").join(d.select("doc_id", "project_id"), "doc_id"), F.col("key"), F.col("project_id"))),
         ("Operation", "HAS_RISK", "Risk"): _once(_edge(risk, F.col("project_id"), F.col("r.category"), F.col("r.rating").alias("rating"))),
         ("Program", "HAS_PHASE", "Phase"): _once(_edge(phases, F.col("program_id"), phase_id, "phase")),

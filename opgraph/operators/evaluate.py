@@ -163,3 +163,23 @@ def oracle_filters(question: dict, k: int = 8) -> dict:
     if question.get("expect_scope"):
         out["scope"] = question["expect_scope"]
     return out
+
+
+def retrieval_page(questions: DataFrame, context: DataFrame, k: int = 8, jobs: int = 3) -> str:
+    """A page with the scores of a question file, unfiltered and with filters from the answer key. Files hold a few dozen questions."""
+    from opgraph.operators.retrieve import retrieve
+    from opgraph.sources.sinks import results_page
+
+    items = [r.asDict(recursive=True) for r in questions.collect()]
+    scores = []
+    for mode in ("retrieval", "oracle"):
+        ask = lambda q, mode=mode: retrieve(context, q["question"], embed=True, **(oracle_filters(q, k) if mode == "oracle" else {"k": k}))
+        for item, got in zip(items, run_questions(items, ask, jobs)):
+            hits = got["payload"].get("hits", [])
+            projects = [p for p in item["expect_ids"] if re.fullmatch(r"P\d{6,7}", p)]
+            types, scope = item["expect_section_types"], item["expect_scope"]
+            right = lambda h: (not projects or h["project_id"] in projects) and (not types or h["section_type"] in types or h["section_subtype"] in types) and (not scope or h["scope"] == scope)
+            recall = len({h["project_id"] for h in hits} & set(projects)) / len(set(projects)) if projects else None
+            joint = next((h["rank"] for h in hits if right(h)), None)
+            scores.append({"id": item["id"], "topic": item["topic"], "mode": mode, "recall": recall, "joint_rank": joint, "passed": joint is not None and recall in (None, 1.0)})
+    return results_page(scores)

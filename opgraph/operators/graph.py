@@ -57,6 +57,18 @@ def upsert_nodes(current: DataFrame, staged: DataFrame, key: str, stub: str = "s
     return joined.select(key, *out, F.when(F.col("_old"), F.col("o_stub") & F.coalesce(F.col("n_stub"), F.lit(True))).otherwise(F.col("n_stub")).alias(stub))
 
 
+def changes(before: DataFrame | None, after: DataFrame, key: str) -> DataFrame:
+    """``(change, n)``: rows of ``after`` that ``before`` lacks (created), has with other values (changed) or has alike (same), and rows gone."""
+    shared = [c for c in after.columns if before is None or c in before.columns]
+    print_ = lambda df: df.select(F.col(key).alias("_k"), F.xxhash64(*[F.col(c).cast("string") for c in shared]).alias("_h"))
+    new = print_(after).withColumnRenamed("_h", "_n")
+    if before is None:
+        return new.select(F.lit("created").alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    both = print_(before).join(new, "_k", "full")
+    which = F.when(F.col("_h").isNull(), "created").when(F.col("_n").isNull(), "gone").when(F.col("_h") == F.col("_n"), "same").otherwise("changed")
+    return both.select(which.alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 def upsert_edges(current: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
     props = [c for c in current.columns if c not in keys]
     new = staged.select(*keys, *[F.col(c).alias(f"n_{c}") for c in props])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opgraph.functions.text import clean_cells, clean_text, heading_slug, redact_rows, redact_text
 from opgraph.functions.vocab import CORE, SECTION_GROUPS, SECTION_TYPES
-from opgraph.operators import build, chunking, facts, glossary, graph, index, layout
+from opgraph.operators import build, chunking, facts, glossary, graph, index, layout, retrieve
 from opgraph.plans.materialize import materialize
 from opgraph.sources.readers import TABLES, prune_versions, read_spans, read_tables, read_version, write_version
 
@@ -75,7 +75,7 @@ def records(found: dict[str, DataFrame], aliases: dict[str, str] | None = None,
     ticked = F.array_contains("modalities", "mpa")
     out = done.join(docs.select("doc_id", "doc_type"), "doc_id").join(program.select("doc_id", F.col("name").alias("_pn"), F.col("project_id").alias("_pi")), "doc_id", "left")
     out = out.withColumn("program_id", F.when(ticked, F.col("_pi"))).withColumn("program_name", F.when(ticked, F.col("_pn"))).drop("_pi", "_pn")
-    return materialize(out, "records")
+    return materialize(facts.with_cover_amounts(out, facts.cover_facts(found["rows"])), "records")
 
 
 def section_chunks(secs: DataFrame, tabs: DataFrame | None = None, countries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -133,6 +133,7 @@ def ingest(spark: SparkSession, path: str, root: str, tables: str | None = None,
     for name, df in (("vectors", cache), ("chunks", chunks_all), ("tables", tabs_all), ("sections", secs_all)):
         write_version(df, f"{root}/{name}")
         prune_versions(spark, f"{root}/{name}")
+    retrieve.forget_maps()
     by = {r.type: r.n for r in secs.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
     flags = {
         "oversized": layout.size_flags(secs).count(), "results_words": layout.results_words(secs).count(), "missing_core": layout.missing_core(secs, CORE).count(),

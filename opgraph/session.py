@@ -7,6 +7,7 @@ broadcast and memory settings win, the values below are only for sessions that t
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,18 @@ LOCAL_DEFAULTS = {
 }
 
 
+@dataclass(frozen=True)
+class Folders:
+    """Places below one root: delivered files, extracted records, the graph's tables, caches, results."""
+
+    root: str
+
+    def __getattr__(self, name: str) -> str:
+        if name not in ("files", "records", "tables", "cache", "results"):
+            raise AttributeError(name)
+        return f"{self.root.rstrip('/')}/{name}"
+
+
 def get_or_create(master: str | None = None, app: str = "opgraph", **conf: str) -> SparkSession:
     """The running session, or a new one on ``master`` (default: ``local[$BENCH_CPUS or 8]``)."""
     builder = SparkSession.builder.appName(app)

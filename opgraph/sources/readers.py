@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+import re
+import unicodedata
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -80,6 +84,31 @@ def load_types(path: str | Path) -> tuple[dict[str, list[str]], dict[str, list[s
     return types, groups, core
 
 
+def load_aliases(path: str | Path) -> dict[str, str]:
+    """Folded spelling to canonical name, from an alias file (``organizations``: name -> spellings); one spelling of two names is an error."""
+    out: dict[str, str] = {}
+    for name, spellings in json.loads(Path(path).read_text())["organizations"].items():
+        for s in [name, *spellings]:
+            key = fold(s)
+            if out.setdefault(key, name) != name:
+                raise ValueError(f"{s!r} is a spelling of {out[key]!r} and of {name!r}")
+    return out
+
+
+def load_countries(spark: SparkSession, path: str | Path) -> DataFrame:
+    """``(name_norm, canonical, iso2, region)``, a row for every name, alias and code of a country file."""
+    rows = []
+    for name, e in json.loads(Path(path).read_text())["countries"].items():
+        rows += [(key, name, e["iso2"], e["region"]) for key in dict.fromkeys(fold(x) for x in (name, *e.get("aliases", []), e["iso2"], *e.get("api_codes", [])))]
+    return spark.createDataFrame(rows, "name_norm string, canonical string, iso2 string, region string").dropDuplicates(["name_norm"])
+
+
+def fold(text: str) -> str:
+    """The folded form of a name on the driver, as ``functions.text.name_norm`` has it in plans."""
+    flat = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return re.sub("[^a-z0-9]+", " ", flat).strip()
+
+
 def pair_extractions(sections: DataFrame, datasheets: DataFrame, stem: str = "stem", only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, notes): records joined by stem, and one note for every stem without a mate."""
     a, b = (df if only is None else df.where(F.col(stem).isin(only)) for df in (sections, datasheets))
@@ -95,6 +124,29 @@ def verify_manifest(spark: SparkSession, files: str, manifest: DataFrame) -> Dat
     return manifest.join(have, "filename", "left").select("filename", status.alias("status"))
 
 
+def fetch_files(entries: list[dict], folder: str | Path, fetch: Callable[[str], bytes], check_only: bool = False) -> dict[str, str]:
+    """Status of every manifest entry (filename, url, sha256): ok, fetched, changed or missing. Right files are not fetched again; a file
+    appears under its name only when its hash is right. A manifest has a handful of files, so this runs on the driver; large ones use :func:`verify_manifest`."""
+    out = {}
+    for e in entries:
+        path = Path(folder) / e["filename"]
+        right = path.exists() and hashlib.sha256(path.read_bytes()).hexdigest() == e["sha256"]
+        out[e["filename"]] = "ok" if right else "changed" if path.exists() else "missing"
+        if right or check_only:
+            continue
+        part = path.with_name(path.name + ".part")
+        try:
+            part.write_bytes(fetch(e["url"]))
+            if hashlib.sha256(part.read_bytes()).hexdigest() == e["sha256"]:
+                part.rename(path)
+                out[e["filename"]] = "fetched"
+        except Exception as error:
+            out[e["filename"]] = f"error: {error}"[:200]
+        finally:
+            part.unlink(missing_ok=True)
+    return out
+
+
 def api_records(ids: DataFrame, cache: DataFrame, fetch: Callable[[str], dict | None] | None = None) -> DataFrame:
     """``(project_id, payload, how)``: cached records; ``fetch`` fills misses if given. Personal fields are dropped before caching.
 
@@ -195,7 +247,7 @@ def read_version(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000) -> int:
-    """A self-contained HTML list of a small graph layer; refuses more than ``most`` nodes. Returns the nodes written."""
+    """A self-contained HTML page of a small graph layer, drawn and listed; refuses more than ``most`` nodes. Returns the nodes written."""
     from html import escape
 
     rows = nodes.select("id", "label", "name").orderBy("label", "id").limit(most + 1).collect()
@@ -204,7 +256,18 @@ def write_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 2000)
     links = edges.select("src", "type", "dst").orderBy("type", "src", "dst").limit(10 * most + 1).collect()
     if len(links) > 10 * most:
         raise ValueError(f"more than {10 * most} edges: render a smaller layer")
+    labels = sorted({r.label for r in rows})
+    # a ring for each label, its nodes at even angles
+    place = {}
+    for ring, label in enumerate(labels):
+        mine = [r.id for r in rows if r.label == label]
+        for i, key in enumerate(mine):
+            angle, radius = 2 * math.pi * (i + 0.5 * (ring % 2)) / len(mine), 80 + 90 * ring
+            place[key] = (round(math.cos(angle) * radius, 1), round(math.sin(angle) * radius, 1))
+    size = 80 + 90 * len(labels)
+    drawn = "".join(f"<line x1='{place[r.src][0]}' y1='{place[r.src][1]}' x2='{place[r.dst][0]}' y2='{place[r.dst][1]}' stroke='#999'><title>{escape(r.type)}</title></line>" for r in links if r.src in place and r.dst in place)
+    drawn += "".join(f"<g><circle cx='{place[r.id][0]}' cy='{place[r.id][1]}' r='6' fill='hsl({360 * labels.index(r.label) // max(1, len(labels))} 60% 50%)'/><text x='{place[r.id][0] + 8}' y='{place[r.id][1]}' font-size='9'>{escape(r.name or r.id)}</text></g>" for r in rows)
     body = "".join(f"<li><b>{escape(r.label)}</b> {escape(r.name or r.id)}</li>" for r in rows)
     lines = "".join(f"<li>{escape(r.src)} —{escape(r.type)}→ {escape(r.dst)}</li>" for r in links)
-    Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>graph</title><ul>{body}</ul><ul>{lines}</ul>")
+    Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>graph</title><svg viewBox='{-size} {-size} {2 * size} {2 * size}' width='{2 * size}'>{drawn}</svg><ul>{body}</ul><ul>{lines}</ul>")
     return len(rows)

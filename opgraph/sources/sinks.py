@@ -18,6 +18,24 @@ def write_documents(docs: DataFrame, sections: DataFrame, path: str) -> None:
     documents_json(docs, sections).select(F.col("json").alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Data sheet records as JSON lines, one a document."""
+    records.write.mode("errorifexists").json(path)
+
+
+def results_page(scores: list[dict], title: str = "Results") -> str:
+    """Scores of questions as a readable page: a line each, then the totals. ``scores``: id, passed, recall, joint_rank, and any of mode, topic."""
+    modes = sorted({s.get("mode", "") for s in scores})
+    lines = [f"# {title}", "", "| id | topic | mode | result | recall |", "| --- | --- | --- | --- | --- |"]
+    shown = lambda s: f"pass@{s['joint_rank']}" if s["passed"] else "fail"
+    lines += [f"| {s['id']} | {s.get('topic') or ''} | {s.get('mode', '')} | {shown(s)} | {'n/a' if s['recall'] is None else format(s['recall'], '.2f')} |" for s in scores]
+    for mode in modes:
+        mine = [s for s in scores if s.get("mode", "") == mode]
+        rr = sum(1 / s["joint_rank"] for s in mine if s["joint_rank"]) / len(mine)
+        lines += ["", f"{mode or 'all'}: {sum(s['passed'] for s in mine)}/{len(mine)} passed, MRR {rr:.2f}"]
+    return "\n".join(lines) + "\n"
+
+
 def summary(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Counts and filled columns per group: the console summary of an extraction."""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in columns]).orderBy(by)

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from opgraph.operators import evaluate, facts, graph, layout
 from opgraph.sources import sinks
 from opgraph.sources.readers import write_html
@@ -57,3 +60,71 @@ def test_sinks(spark, tmp_path):
     page = sinks.markdown_hits({"question": "q?", "expansions": {"A": ["b"]}, "hits": [hit] * 6})
     assert page.startswith("## q?") and "… 2 more hits" in page and sinks.markdown_hits({"error": "e"}) == "**error:** e\n"
     assert sinks.markdown_rows({"columns": ["a"], "rows": [{"a": "x|y"}] * 12, "row_count": 12}).endswith("… 2 more rows\n")
+
+
+def test_config_files_and_manifest(spark, tmp_path):
+    import hashlib
+
+    from opgraph.session import Folders
+    from opgraph.sources.readers import fetch_files, load_aliases, load_countries
+
+    (tmp_path / "a.json").write_text(json.dumps({"organizations": {"Fund (F)": ["F", "the  fund"], "Bank": ["B"]}}))
+    assert load_aliases(tmp_path / "a.json") == {"fund f": "Fund (F)", "f": "Fund (F)", "the fund": "Fund (F)", "bank": "Bank", "b": "Bank"}
+    (tmp_path / "b.json").write_text(json.dumps({"organizations": {"X": ["same"], "Y": ["Same"]}}))
+    with pytest.raises(ValueError):
+        load_aliases(tmp_path / "b.json")
+    (tmp_path / "c.json").write_text(json.dumps({"countries": {"Türland": {"iso2": "TL", "region": "R", "aliases": ["Republic of Türland"], "api_codes": ["3T"]}}}))
+    assert {r.name_norm for r in load_countries(spark, tmp_path / "c.json").collect()} == {"turland", "republic of turland", "tl", "3t"}
+    entry = {"filename": "x.pdf", "url": "u", "sha256": hashlib.sha256(b"good").hexdigest()}
+    assert fetch_files([entry], tmp_path, lambda u: b"bad") == {"x.pdf": "missing"} and not list(tmp_path.glob("*.part"))
+    assert fetch_files([entry], tmp_path, lambda u: b"good") == {"x.pdf": "fetched"} and fetch_files([entry], tmp_path, lambda u: 1 / 0) == {"x.pdf": "ok"}
+    (tmp_path / "x.pdf").write_bytes(b"other")
+    assert fetch_files([entry], tmp_path, lambda u: b"", check_only=True) == {"x.pdf": "changed"} and Folders("/r/").tables == "/r/tables"
+
+
+def test_cover_amounts_and_conflicts_of_records(spark):
+    form = [["Operation ID", "Financing Instrument"], ["P123456", "Investment Project Financing"], [None], ["Operation Name", "Country"], ["Water", "Land"], ["Borrower: Land"], ["Implementing Agency: Roads (R)"], ["International Development Association (IDA)", "411.00"], ["Counterpart Funding", "5.00"]]
+    parsed = facts.parse_sheets(spark.createDataFrame([("d", form)], "doc_id string, rows array<array<string>>"))
+    head = spark.createDataFrame([("d", "P123456")], "doc_id string, header_id string")
+    none = spark.createDataFrame([], "name_norm string, canonical string, iso2 string, region string")
+    api = spark.createDataFrame([("P123456", "R", "Active", "ok")], "project_id string, region string, status string, api_status string")
+    done = facts.complete_operations(parsed, head, none, api, "2024-01-01")
+    page = spark.createDataFrame([("d", 1, 0, "PROPOSED CREDIT IN THE AMOUNT OF EUR 350 MILLION (US$411 MILLION EQUIVALENT) AND A PROPOSED GRANT IN THE AMOUNT OF US$9 MILLION TO X")], "doc_id string, page int, row_no int, text string")
+    r = facts.with_cover_amounts(done, facts.cover_facts(page)).first()
+    assert [(f.source, f.orig_currency, f.orig_millions, f.orig_from) for f in r.financing] == [("IDA", "EUR", 350.0, "cover"), (None, "USD", 5.0, "datasheet")]
+    assert {f.kind for f in r.flags} >= {"cover_amount_unmatched", "country_unmapped"} and (r.region, r.region_source) == ("R", "api")
+    other = spark.createDataFrame([("P123456", "WATER!", "Sea", "Investment Project Financing", ["roads r"], 400_000_000.0)], "project_id string, name string, country string, instrument string, implementing_agencies array<string>, ida_commitment_usd double")
+    assert {(c.field, c.own) for c in facts.record_conflicts(done, other).collect()} == {("country", "Land"), ("ida_commitment_usd", "411000000")}
+    assert facts.api_practice_area(F.lit("<GP_PRACTICE_NAME><![CDATA[Water]]")) is not None
+    assert spark.range(1).select(facts.api_practice_area(F.lit("x <GP_PRACTICE_NAME><![CDATA[Water]] cut")).alias("a")).first().a == "Water"
+
+
+def test_traces_passes_changes_and_pages(spark, tmp_path):
+    from opgraph.operators.retrieve import forget_maps, cached_map
+
+    n = evaluate.save_trace(str(tmp_path / "q1.jsonl"), "Why?", ['{"type": "x", "text": "a@b.org secretkey"}'], {"KEY": "secretkey"})
+    text = (tmp_path / "q1.jsonl").read_text().splitlines()
+    assert n == 2 and json.loads(text[0]) == {"question": "Why?"} and "secretkey" not in text[1] and "[email redacted]" in text[1]
+    lines = spark.createDataFrame([("q1.jsonl", 0, text[0]), ("e2.jsonl", 0, '{"type": "system"}')], "file string, line int, value string")
+    known = spark.createDataFrame([("e2", "How?")], "id string, question string")
+    assert {r.file: r.question for r in evaluate.read_trace(lines, known).collect()} == {"q1.jsonl": "Why?", "e2.jsonl": "How?"}
+    s = spark.createDataFrame([("graph", True, 0.5), ("graph", False, None), ("edge", True, 1.0)], "category string, passed boolean, cost double")
+    assert {tuple(r) for r in evaluate.passes(s).collect()} == {("graph", 2, 1, 0.5), ("edge", 1, 1, 1.0), (None, 3, 2, 1.5)}
+    a, b = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "k string, v int"), spark.createDataFrame([("x", 1), ("y", 9), ("w", 4)], "k string, v int")
+    assert {r.change: r.n for r in graph.changes(a, b, "k").collect()} == {"same": 1, "changed": 1, "created": 1, "gone": 1} and graph.changes(None, b, "k").first().n == 3
+    page = sinks.results_page([{"id": "r1", "topic": "t", "mode": "m", "passed": True, "recall": None, "joint_rank": 2}, {"id": "r2", "mode": "m", "passed": False, "recall": 0.5, "joint_rank": None}])
+    assert "| r1 | t | m | pass@2 | n/a |" in page and "m: 1/2 passed, MRR 0.25" in page
+    defines = spark.createDataFrame([("A", "x", "d")], "acronym string, expansion string, document string")
+    assert cached_map(defines, "v1").count() == 1 == cached_map(defines.limit(0), "v1").count()
+    forget_maps()
+    assert cached_map(defines.limit(0), "v1").count() == 0
+
+
+def test_pool_limits_rankings_before_the_filters(spark):
+    from opgraph.operators.retrieve import search
+
+    rows = [(f"c{i}", "P1" if i else "P2", None, "risks", None, "main", "text", "water " * (9 - i), [1.0, i / 10], "Land", "LD") for i in range(5)]
+    c = spark.createDataFrame(rows, "chunk_id string, project_id string, phase_project_id string, type string, subtype string, scope string, kind string, text string, embedding array<double>, country string, country_iso2 string")
+    ids = lambda **o: sorted(r.id for r in search(c, "water", [1.0, 0.0], project_ids=["P1"], **o).collect())
+    assert ids() == ["c1", "c2", "c3", "c4"] and ids(pool=2) == ["c1"]
+    assert sorted(r.id for r in search(c, "water", project_ids=["P1"], countries=["LÁND"]).collect()) == ["c1", "c2", "c3", "c4"]
