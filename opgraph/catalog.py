@@ -16,6 +16,7 @@ from opgraph.operators.query import Rejected, check
 from opgraph.plans.keys import latest, latest_wide
 from opgraph.plans.materialize import shared_dir
 from opgraph.session import table
+from opgraph.sources.readers import html_rows
 from opgraph.streaming.ingest import merge_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -853,3 +854,169 @@ def node_changes(ops):
 @query("operations", sql=f"SELECT project_id, CASE upper(substr(es_risk_rating, 1, 1)) WHEN 'L' THEN 'Low' WHEN 'M' THEN 'Moderate' WHEN 'S' THEN 'Substantial' WHEN 'H' THEN 'High' END AS rating FROM {OPS}")
 def rating_codes(ops):
     return graph.operations(ops).select("project_id", facts.rating_of(F.substring("es_risk_rating", 1, 1)).alias("rating"))
+
+
+# ---- layout, from rows that are made of the tables -----------------------------------------------------------
+_ROWS = "doc_id", "page", "row_no", "x0", "y0", "x1", "y1", "text", "size", "bold"
+
+
+def _layout_rows(df: DataFrame, doc: str, page, row, text, size=None, bold=None) -> DataFrame:
+    """Layout rows with the given columns; row numbers give heights."""
+    y = row.cast("double") * 20
+    return df.select(F.col(doc).alias("doc_id"), page.cast("int").alias("page"), row.cast("int").alias("row_no"), F.lit(0.0).alias("x0"), (y - 10).alias("y0"), F.lit(100.0).alias("x1"), y.alias("y1"), text.alias("text"), (size if size is not None else F.lit(10.0)).alias("size"), (bold if bold is not None else F.lit(False)).alias("bold"))
+
+
+def _outline(secs: DataFrame) -> DataFrame:
+    """A heading row for every section, whose annex number has as many parts as the section's level, and a body row after each."""
+    s = latest(secs, "section_id", ["document_hash", "order", "level"], "loaded_at").where("level > 0 AND `order` > 0")
+    head = F.concat(F.lit("ANNEX "), F.repeat(F.lit("1."), F.col("level") - 1), F.lit("1: T"), F.col("order").cast("string"))
+    both = s.select("document_hash", F.col("order"), F.explode(F.array(F.struct((F.col("order") * 2).alias("r"), head.alias("t"), F.lit(True).alias("b")), F.struct((F.col("order") * 2 + 1).alias("r"), F.lit("body").alias("t"), F.lit(False).alias("b")))).alias("x"))
+    return _layout_rows(both, "document_hash", F.lit(1), F.col("x.r"), F.col("x.t"), bold=F.col("x.b"))
+
+
+_OUTLINE = f"(SELECT document_hash AS d, \"order\" AS o, level, row_number() OVER (PARTITION BY document_hash ORDER BY \"order\") AS n FROM {SECS} WHERE level > 0 AND \"order\" > 0)"
+
+
+@query("sections", sql=f"""
+    WITH s AS {_OUTLINE} SELECT a.d AS doc_id, a.n::INT AS "order", a.level, 'ANNEX ' || repeat('1.', a.level - 1) || '1: T' || a.o AS title, max(b.n)::INT AS parent, 'body' AS text FROM s a LEFT JOIN s b ON a.d = b.d AND b.n < a.n AND b.level < a.level GROUP BY ALL""")
+def outlined_sections(secs):
+    """Headings, sections and parents of layout rows."""
+    out = layout.parents(layout.assemble(layout.detect_headings(_outline(secs)))).where("level > 0")
+    return out.select("doc_id", F.col("order").cast("int").alias("order"), "level", "title", F.col("parent").cast("int").alias("parent"), "text")
+
+
+@query("documents", sql="""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, 8 + length(t) % 5 AS s, sum(length(t)) AS n FROM l GROUP BY ALL)
+    SELECT doc_id::VARCHAR AS doc_id, arg_max(s, (n, -s))::DOUBLE AS body FROM s GROUP BY doc_id""")
+def body_sizes(docs):
+    """The size that most characters of a document have."""
+    lines = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "t"))
+    return layout.body_size(_layout_rows(lines, "doc_id", F.lit(1), F.col("at"), F.col("t"), size=(8 + F.length("t") % 5).cast("double")))
+
+
+@query("hits", sql=f"""
+    WITH h AS (SELECT question_id::VARCHAR AS doc_id, rank AS page, coalesce(project_id, '') AS p FROM {HITS} WHERE question_id IS NOT NULL), g AS (SELECT doc_id, count(DISTINCT page) AS pages FROM h GROUP BY 1),
+    n AS (SELECT doc_id, substr(p, 1, 7) AS id, count(DISTINCT page) AS n FROM h WHERE regexp_matches(p, '^P[0-9]{{6}}') GROUP BY ALL), b AS (SELECT doc_id, arg_max(id, (n, id)) AS id, max(n) AS n FROM n GROUP BY 1)
+    SELECT g.doc_id, CASE WHEN b.n >= 0.3 * g.pages THEN b.id END AS project_id FROM g LEFT JOIN b USING (doc_id)""")
+def header_ids(hits):
+    """The bracketed id on most pages of a document, if on a third of them."""
+    h = latest(hits, "hit_id", ["question_id", "rank", "project_id"], "loaded_at").where("question_id IS NOT NULL").withColumn("d", F.col("question_id").cast("string"))
+    return layout.project_ids(_layout_rows(h, "d", F.col("rank"), F.lit(0), F.concat(F.lit("x ("), F.substring(F.coalesce("project_id", F.lit("")), 1, 7), F.lit(")"))))
+
+
+@query("chunks", "sections", sql=f"""
+    WITH t AS (SELECT chunk_id, split_part(chunk_id, ':', 1) AS d, page, "order" * 10.0 AS top, "order" * 10.0 + 25 AS bottom FROM {CHUNKS} WHERE page IS NOT NULL AND kind = 'table'),
+    s AS (SELECT document_hash AS d, "order" AS o, level, page, (page * 7 % 50) * 1.0 AS top FROM {SECS} WHERE page IS NOT NULL),
+    j AS (SELECT t.chunk_id, s.o, s.level, (s.page = t.page AND s.top BETWEEN t.top AND t.bottom AND s.level > 0) AS inside, (s.page < t.page OR (s.page = t.page AND s.top <= t.top) OR s.level = 0) AS above FROM t JOIN s USING (d))
+    SELECT chunk_id, coalesce(min(o) FILTER (inside), max(o) FILTER (above)) AS "order" FROM j WHERE inside OR above GROUP BY chunk_id""")
+def table_owners(chunks, secs):
+    """The section that a table belongs to: one whose heading it holds, else the last at or above it."""
+    c = latest(chunks, "chunk_id", ["kind", "page", "order"], "loaded_at").where("page IS NOT NULL AND kind = 'table'")
+    t = c.select(F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("doc_id"), F.col("chunk_id").alias("table_no"), "page", (F.col("order") * 10.0).cast("double").alias("top"), (F.col("order") * 10.0 + 25).cast("double").alias("bottom"))
+    s = latest(secs, "section_id", ["document_hash", "order", "level", "page"], "loaded_at").where("page IS NOT NULL")
+    s = s.select(F.col("document_hash").alias("doc_id"), "order", "level", "page", ((F.col("page") * 7) % 50).cast("double").alias("top"))
+    return layout.table_owner(t, s).select(F.col("table_no").alias("chunk_id"), "order")
+
+
+@query("sections", sql=f"SELECT section_id AS doc_id, n::INT AS row_no, text, size, bold FROM (SELECT section_id, 0 AS n, {_TIDY.format('title')} AS text, 16.0::DOUBLE AS size, true AS bold FROM {SECS} UNION ALL SELECT section_id, 1, {_TIDY.format('title')}, 10.0, false FROM {SECS}) WHERE text IS NOT NULL AND NOT contains(text, '<')")
+def html_pages(secs):
+    """Layout rows of pages: a heading and a paragraph with the title."""
+    rows = latest(secs, "section_id", ["title"], "loaded_at").where("title IS NOT NULL AND NOT contains(title, '<')")
+    pages = rows.select("section_id", F.concat(F.lit("<html><h1 class='x'>"), "title", F.lit("</h1><p><b>"), "title", F.lit("</b></p>")).alias("html"))
+    return html_rows(pages, "section_id", "html").select("doc_id", "row_no", "text", "size", "bold")
+
+
+@query("sections", sql=f"""
+    SELECT section_id, string_agg(l, chr(10) ORDER BY a, e) AS text FROM (SELECT section_id, a, e, a || ': ' || e AS l, sum(1 + len(string_split(e, ' '))) OVER (PARTITION BY section_id) AS words FROM (
+      SELECT section_id, a, arg_min(e, pos) AS e FROM (SELECT section_id, pos, regexp_extract(l, '^([A-Z0-9]+) ', 1) AS a, trim(regexp_extract(l, '^[A-Z0-9]+ (.+)$', 1)) AS e
+        FROM (SELECT section_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {SECS} WHERE type = 'front_matter' AND text IS NOT NULL) WHERE regexp_matches(l, '^[A-Z][A-Z0-9]+ [A-Z][a-z]')) GROUP BY ALL))
+    WHERE words <= 400 GROUP BY section_id""")
+def glossary_texts(secs):
+    """Glossary chunks: sorted lines of each section's abbreviations; lists of more than one chunk are left out of the comparison."""
+    rows = latest(secs, "section_id", ["type", "text"], "loaded_at").where("type = 'front_matter' AND text IS NOT NULL")
+    pairs = glossary.merge(glossary.from_text(rows, "section_id", needs_start=False)).withColumnRenamed("id", "section_id")
+    out = chunking.glossary_chunks(pairs)
+    several = out.where("n > 0").select("section_id").distinct()
+    return out.join(several, "section_id", "left_anti").select("section_id", "text")
+
+
+_CELL = "coalesce(chr(10) || '| {} | ' || replace({}, '|', chr(92) || '|') || ' |', '')"
+
+
+@query("operations", sql=f"""
+    SELECT project_id AS id, '| Field | Value |' || chr(10) || '| --- | --- |' || {_CELL.format('name', _TIDY.format('name'))} || {_CELL.format('country', _TIDY.format('country'))} || {_CELL.format('id', 'project_id')} AS text FROM {OPS}""")
+def table_texts(ops):
+    """Tables as markdown: an empty column goes, the header leads."""
+    o = graph.operations(ops)
+    line = lambda k, c: F.when(F.col(c).isNotNull() & (F.trim(c) != ""), F.array(F.lit(k), F.lit(""), F.col(c)))
+    rows = F.filter(F.array(F.array(F.lit("Field"), F.lit(None), F.lit("Value")), line("name", "name"), line("country", "country"), line("id", "project_id")), lambda r: r.isNotNull())
+    return chunking.table_chunks(o.select("project_id", rows.alias("rows")), "project_id").select("id", "text")
+
+
+@query("chunks", sql=f"""
+    WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM {CHUNKS} WHERE text IS NOT NULL),
+    c AS (SELECT chunk_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n FROM w GROUP BY ALL)
+    SELECT chunk_id, count(*)::INT AS dims, arg_max(slot, (n, -slot))::INT AS top, round(max(n) / sqrt(sum(n * n)), 4) AS largest FROM c GROUP BY chunk_id""")
+def hashed_vectors(chunks):
+    """Vectors of the default embedder: filled dimensions, the largest and its share of unit length."""
+    rows = latest_wide(chunks, "chunk_id", ["text"], "loaded_at").where("text IS NOT NULL").select("chunk_id", index.hash_embedding(F.col("text")).alias("v"))
+    most = F.array_max("v")
+    return rows.where(most > 0).select("chunk_id", F.size(F.filter("v", lambda x: x > 0)).alias("dims"), (F.array_position("v", most) - 1).cast("int").alias("top"), F.round(most.cast("double"), 4).alias("largest"))
+
+
+@query("finances", sql=f"""
+    WITH f AS (SELECT name_norm, project_id, coalesce(detail, category) AS detail, amount_usd, loaded_at FROM finances WHERE project_id IS NOT NULL AND coalesce(detail, category) IS NOT NULL),
+    a AS (SELECT name_norm, project_id, detail, arg_max(amount_usd, loaded_at) FILTER (amount_usd IS NOT NULL) AS v FROM (SELECT * FROM f WHERE loaded_at < {_EARLY} QUALIFY row_number() OVER (PARTITION BY name_norm, project_id, detail ORDER BY loaded_at DESC, amount_usd DESC NULLS LAST) = 1) GROUP BY ALL),
+    b AS (SELECT name_norm, project_id, detail, arg_max(amount_usd, loaded_at) FILTER (amount_usd IS NOT NULL) AS v FROM (SELECT * FROM f WHERE loaded_at >= {_EARLY} QUALIFY row_number() OVER (PARTITION BY name_norm, project_id, detail ORDER BY loaded_at DESC, amount_usd DESC NULLS LAST) = 1) GROUP BY ALL)
+    SELECT name_norm, project_id, detail, coalesce(b.v, a.v) AS amount_usd FROM a FULL JOIN b USING (name_norm, project_id, detail)""")
+def edge_upsert(fin):
+    """Later edges are merged into earlier ones; null never erases."""
+    f = fin.select("name_norm", "project_id", F.coalesce("detail", "category").alias("detail"), "amount_usd", "loaded_at").where("project_id IS NOT NULL AND detail IS NOT NULL")
+    cut, keys = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), ["name_norm", "project_id", "detail"]
+    before, after = (graph.stage_edges(f.where(c), keys, "loaded_at") for c in (F.col("loaded_at") < cut, F.col("loaded_at") >= cut))
+    return graph.upsert_edges(before, after, keys)
+
+
+@query("sections", sql=f"""
+    WITH p AS (SELECT DISTINCT project_id AS program_id, phase FROM {SECS} WHERE phase IS NOT NULL AND project_id IS NOT NULL), m AS (SELECT program_id, max(phase) AS last FROM p GROUP BY 1)
+    SELECT program_id, (SELECT count(*) FROM range(1, last + 1) r(i) WHERE i NOT IN (SELECT phase FROM p WHERE p.program_id = m.program_id))::INT AS gaps FROM m""")
+def phase_gaps(secs):
+    """Phase numbers that a programme lacks."""
+    p = latest(secs, "section_id", ["project_id", "phase"], "loaded_at").where("phase IS NOT NULL AND project_id IS NOT NULL").select(F.col("project_id").alias("program_id"), "phase").distinct()
+    none = {c: F.lit(None).cast("double") for c in ("ibrd", "ida", "other")}
+    return facts.reconcile_phases(p.withColumns(none)).select("program_id", F.size("missing").alias("gaps"))
+
+
+@query("finances", sql=f"""
+    WITH f AS (SELECT project_id AS doc_id, coalesce(category, '-') AS g, amount_usd / 1e6 AS m FROM {_FIN} WHERE project_id IS NOT NULL AND amount_usd IS NOT NULL), s AS (SELECT doc_id, g, sum(m) AS found, round(sum(m), 0) AS expected FROM f GROUP BY ALL)
+    SELECT doc_id, 'group ' || g AS "check", expected FROM s WHERE abs(expected - found) > 0.01""")
+def group_sums(fin):
+    """Financing groups, stated in whole millions, whose parts do not add up to them."""
+    f = graph.finances_edges(fin).where("project_id IS NOT NULL AND amount_usd IS NOT NULL").select(F.col("project_id").alias("doc_id"), F.coalesce("category", F.lit("-")).alias("group"), (F.col("amount_usd") / 1e6).alias("amount_millions"))
+    groups = f.groupBy("doc_id", "group").agg(F.round(F.sum("amount_millions"), 0).alias("amount_millions"))
+    totals = groups.groupBy("doc_id").agg(F.sum("amount_millions").alias("total_millions"))
+    return facts.financing_checks(f, groups, totals).select("doc_id", "check", "expected")
+
+
+@query("chunks", "hits", sql=f"""
+    WITH c AS (SELECT chunk_id, coalesce(text, '') AS t FROM {CHUNKS}) SELECT h.hit_id AS question_id, contains(lower(c.t), 'water') OR contains(lower(c.t), 'road') AS facts, NOT regexp_matches(c.t, 'US\\$ ?[0-9]') AS clean, h.matched_by[1] = 'vector' AS route
+    FROM {HITS} h JOIN c ON c.chunk_id = h.chunk_id WHERE len(h.matched_by) > 0""")
+def answer_scores(chunks, hits):
+    """Answers made of chunks: one of two facts, no amounts, the tool that was asked for."""
+    c = latest_wide(chunks, "chunk_id", ["text"], "loaded_at")
+    h = latest(hits, "hit_id", ["chunk_id", "matched_by"], "loaded_at").where("size(matched_by) > 0")
+    lists = lambda *xs: F.array(*[F.array(*[F.lit(v) for v in x]) for x in xs])
+    none = F.array().cast("array<string>")
+    answers = h.join(c, "chunk_id").select(F.col("hit_id").alias("question_id"), F.col("text").alias("answer"), F.slice("matched_by", 1, 1).alias("tools"), F.lit(0).alias("errors"), lists(["vector"]).alias("expect_route"), lists(["water", "Road"]).alias("expect_facts"), lists([r"re:US\$ ?[0-9]"]).alias("must_not"), none.alias("expect_ids"))
+    return evaluate.score_answers(answers).select("question_id", "facts", "clean", "route")
+
+
+@query("chunks", "sections", "operations", sql=f"""
+    WITH s AS (SELECT s.section_id, coalesce(o.country, '?') || ' | ' || coalesce(s.phase_project_id, s.project_id) || ' | ' || s.path AS head FROM {SECS} s LEFT JOIN {OPS} o USING (project_id) WHERE s.text IS NOT NULL AND trim(s.text) <> '' AND s.path IS NOT NULL AND coalesce(s.phase_project_id, s.project_id) IS NOT NULL AND len(regexp_extract_all(s.text, '\\S+')) <= 400)
+    SELECT section_id || ':c0' AS chunk_id, head FROM s""")
+def chunk_heads(chunks, secs, ops):
+    """Head lines of the chunks of sections that fit one chunk."""
+    s = latest_wide(secs, "section_id", ["project_id", "phase_project_id", "path", "page", "text"], "loaded_at").where("text IS NOT NULL AND path IS NOT NULL AND coalesce(phase_project_id, project_id) IS NOT NULL")
+    s = s.where(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) <= 400).join(graph.operations(ops).select("project_id", "country"), "project_id", "left")
+    none = s.sparkSession.createDataFrame([], "section_id string, acronym string, expansion string")
+    return chunking.build_chunks(s, none).select("chunk_id", F.element_at(F.split("embed_text", "\n"), 1).alias("head"))

@@ -140,10 +140,11 @@ def query_terms(question: str, expansions: dict[str, list[str]] | None = None) -
 
 def hash_embedding(c: Column, dim: int = 64) -> Column:
     """Deterministic bag-of-words vector: each word adds 1 at its hash modulo ``dim``; unit length."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731 - a value that inner functions read is computed once
     at = F.transform(words(c), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float"))
+    raw = once(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+    length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return once(raw, lambda r: once(length(r), lambda n: F.transform(r, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))))
 
 
 def embed_with_cache(chunks: DataFrame, cache: DataFrame, embed=hash_embedding) -> tuple[DataFrame, DataFrame]:
