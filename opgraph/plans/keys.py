@@ -41,6 +41,11 @@ def bucket_of(column: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def buckets_for(rows: int, least: int = 64, per: int = 500_000) -> int:
+    """Buckets that leave some ``per`` rows to each if one group holds all rows; grows with the data, never below ``least``."""
+    return max(least, -(-rows // per))
+
+
 def salted_row_number(df: DataFrame, group: list[str], order: str, out: str = "rn", buckets: int = 64) -> DataFrame:
     """Dense 0-based numbers within ``group`` in the order of (hash bucket, ``order``).
 

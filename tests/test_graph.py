@@ -136,6 +136,12 @@ def test_salted_numbers_and_sums(spark):
     assert s[0][0] == 0 and all(a + v == b for (a, v), (b, _) in zip(s, s[1:]))
 
 
+def test_buckets_grow_with_the_rows():
+    from opgraph.plans.keys import buckets_for
+
+    assert (buckets_for(0), buckets_for(32_000_000), buckets_for(10**12), buckets_for(5, 256)) == (64, 64, 2_000_000, 256)
+
+
 def test_latest_of_wide_rows_equals_latest(spark, monkeypatch):
     from opgraph.plans import keys
 
