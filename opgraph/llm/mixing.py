@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opgraph.llm.textunits import count_tokens
-from opgraph.plans.keys import salted_running_sum
+from opgraph.plans.keys import buckets_for, salted_running_sum
 from opgraph.plans.materialize import materialize
 
 BLOCK = 512
@@ -116,7 +116,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
     docs = docs.select("doc_id", "source", count_tokens(F.col("text")).cast("long").alias("size")).where("size > 0")
     docs = docs.groupBy("doc_id").agg(F.max(F.struct("source", "size")).alias("d")).select("doc_id", "d.source", "d.size")
     docs = materialize(docs, "mix-sizes")  # the sums below read it twice; texts are counted once
-    docs = materialize(salted_running_sum(docs, ["source"], "doc_id", "size", "at"), "mix-docs")
+    docs = materialize(salted_running_sum(docs, ["source"], "doc_id", "size", "at", buckets_for(docs.count(), 256)), "mix-docs")
     have = {r.source: (r.tokens, r.docs) for r in docs.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}  # one row a source
     blocks = {s: max(1, have[s][0] // block) if s in have else 0 for s in goal}
     total = total_tokens if total_tokens is not None else sum(t for t, _ in have.values())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opgraph.llm.textunits import TOKEN_RE
-from opgraph.plans.keys import salted_row_number
+from opgraph.plans.keys import buckets_for, salted_row_number
 from opgraph.plans.materialize import materialize
 
 CAPACITY = 2048
@@ -123,7 +123,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
         steps, cls = _plain(histogram, capacity, classes), -F.least(F.lit(classes), F.floor(F.lit(capacity) / F.col("size"))).cast("long")
     else:
         steps, cls = _intervals(plan_patterns(histogram, capacity)), F.col("size")
-    numbered = salted_row_number(pieces.withColumn("cls", cls), ["cls"], "key", "rank")
+    numbered = salted_row_number(pieces.withColumn("cls", cls), ["cls"], "key", "rank", buckets_for(sum(histogram.values())))
     table = pd.DataFrame(steps, columns=["cls", "begin", "end", "bin", "per"]).sort_values(["cls", "begin"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
