@@ -715,14 +715,14 @@ def _financing_forms(fin: DataFrame) -> DataFrame:
 @query("finances", sql=f"SELECT project_id AS doc_id, 'Part ' || md5(detail) AS label, 'IDA' AS source, amount_usd FROM {_PAID}")
 def sheet_financing(fin):
     """Parts of a lender's group with their source."""
-    d = facts.parse_sheets(_financing_forms(fin)).select("doc_id", F.explode("financing").alias("f"))
+    d = facts.parse_sheets(_financing_forms(fin), fields=["financing"]).select("doc_id", F.explode("financing").alias("f"))
     return d.select("doc_id", "f.label", "f.source", "f.amount_usd")
 
 
 @query("finances", sql=f"SELECT project_id AS doc_id, abs(round(sum(amount_usd) / 1e6, 0) - sum(amount_usd) / 1e6) <= 0.01 AS balanced FROM {_PAID} GROUP BY project_id")
 def sheet_balance(fin):
     """Whether the parts of a group add up to it, which states whole millions."""
-    d = facts.parse_sheets(_financing_forms(fin)).select("doc_id", F.explode("financing").alias("f"))
+    d = facts.parse_sheets(_financing_forms(fin), fields=["financing"]).select("doc_id", F.explode("financing").alias("f"))
     return d.groupBy("doc_id").agg(F.max("f.balanced").alias("balanced"))
 
 

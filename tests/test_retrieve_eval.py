@@ -199,6 +199,13 @@ def test_sheet_of_many_lines(spark):
     assert [(f.label, f.amount_usd, f.balanced) for f in e.financing] == [("A", 2_063_000, True), ("B", 9_365_000, True), ("C", 28_582_000, True)]
 
 
+def test_sheet_fields(spark):
+    df = spark.createDataFrame([("d", SHEET), ("e", None)], "doc_id string, rows array<array<string>>")
+    some, whole = facts.parse_sheets(df, fields=["financing"]), facts.parse_sheets(df)
+    assert some.columns == ["doc_id", "financing"] and some.schema["financing"] == whole.schema["financing"]
+    assert sorted(some.collect()) == sorted(whole.select("doc_id", "financing").collect())
+
+
 def test_sheet_rows_and_cover(spark):
     secs = spark.createDataFrame([("d", 3, "datasheet"), ("d", 5, "datasheet"), ("e", 1, "datasheet"), ("f", 1, "x")], "doc_id string, order int, subtype string")
     tabs = spark.createDataFrame([("d", 3, 1, [["b"]]), ("d", 3, 0, [["a"], ["c"]]), ("d", 5, 2, [["z"]])], "doc_id string, order int, table_no int, rows array<array<string>>")
